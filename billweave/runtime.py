@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +14,23 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's sources to the executors, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_billweave_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="billweave-src-"), "billweave_src.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    sc.addPyFile(target)
+    sc._billweave_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the project's parquet tables."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
