@@ -71,7 +71,7 @@ _WITHIN = re.compile(
     + r")(?![a-zäöüß])\.?"
 )
 _NUMBER = re.compile(r"(?<![\w])(?:(?:no|nr|number|#)\.?\s*)?(\d{1,4})(?:\s*[-/]?\s*([a-z]))?(?![\w])")
-_CODE = re.compile(r"(?<!\d)(?:[a-z]{1,3}[- ])?(\d{5})(?!\d)")
+_CODE = re.compile(r"(?:(?<![^\W\d])[a-z]{1,3}[- ])?(?<!\d)(\d{5})(?!\d)")
 _SEPARATOR = re.compile(r"[,;\n|]|\s[-–/]\s")
 _CAMEL = re.compile(r"(?<=[a-zäöüß])(?=[A-ZÄÖÜ])")
 _SPELLINGS = {s: t for t, all_ in STREET_TYPES.items() for s in all_ if t not in _COMPOUND} | {
@@ -79,6 +79,9 @@ _SPELLINGS = {s: t for t, all_ in STREET_TYPES.items() for s in all_ if t not in
 }
 _LONG = sorted({(s, t) for t, all_ in STREET_TYPES.items() for s in all_ if len(s) >= 4}, key=lambda x: -len(x[0]))
 
+#: Endings of compound street names, the longest first, so that "g" is tried last.
+_ENDINGS = sorted({(s, t) for t in _COMPOUND for s in STREET_TYPES[t]}, key=lambda x: (-len(x[0]), x))
+
 
 def _street(words: str) -> tuple[str, str] | None:
     """(name, type) of the words of a street without its number; None where no type is seen."""
@@ -90,10 +93,9 @@ def _street(words: str) -> tuple[str, str] | None:
     if before and last in _SPELLINGS:
         return before, _SPELLINGS[last]
     joined = before + last
-    for kind in _COMPOUND:
-        for spelling in STREET_TYPES[kind]:
-            if joined.endswith(spelling) and len(joined) - len(spelling) >= 4:
-                return joined[: -len(spelling)], kind
+    for spelling, kind in _ENDINGS:
+        if joined.endswith(spelling) and len(joined) - len(spelling) >= 4:
+            return joined[: -len(spelling)], kind
     for spelling, kind in _LONG:
         if joined.endswith(spelling) and len(joined) - len(spelling) >= 4:
             return joined[: -len(spelling)], kind

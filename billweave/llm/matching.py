@@ -19,7 +19,11 @@ def padded_grams(text: Column, q: int = 2) -> Column:
 
 def min_hashes(shingles: Column, count: int) -> list[Column]:
     """``count`` independent MinHash values of a shingle array."""
-    return [F.array_min(F.transform(shingles, lambda s, i=i: F.xxhash64(F.lit(i), s))) for i in range(count)]
+
+    def one(seed: int) -> Column:
+        return F.array_min(F.transform(shingles, lambda s: F.xxhash64(F.lit(seed), s)))
+
+    return [one(seed) for seed in range(count)]
 
 
 def band_keys(shingles: Column, bands: int, rows: int, *exact: Column) -> Column:
