@@ -106,14 +106,15 @@ def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, center) of every node, by star clustering.
 
     ``nodes`` has (id, weight), ``edges`` (id_a, id_b, score). In each round every open node
-    that outranks its open neighbours, by weight and then id, becomes a center, and its open
+    that outranks its open neighbours, by weight, degree and id, becomes a center, and its open
     neighbours join the most similar center next to them. Nodes without an edge are their own
     center. The rounds end when no open pair is left; each round's state is checkpointed.
     """
     one = edges.select(F.col("id_a").alias("v"), F.col("id_b").alias("u"), "score")
     other = edges.select(F.col("id_b").alias("v"), F.col("id_a").alias("u"), "score")
-    w = nodes.select("id", "weight")
-    open_ = one.unionByName(other)
+    open_ = materialize(one.unionByName(other))
+    degree = open_.groupBy(F.col("v").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    w = nodes.join(degree, "id").select("id", F.struct("weight", "degree").alias("weight"))
     open_ = open_.join(w.select(F.col("id").alias("v"), F.col("weight").alias("wv")), "v")
     open_ = materialize(open_.join(w.select(F.col("id").alias("u"), F.col("weight").alias("wu")), "u"))
     decided: list[DataFrame] = []
