@@ -190,6 +190,7 @@ def _slip(words: list[str], single: dict[str, str], phrases: dict[str, str]) ->
             return found, words[:i] + words[i + 2 :]
     for i, w in enumerate(words):
         found = nearest(w, single, 1) if len(w) >= 3 else None
+        found = found or (nearest(w, phrases, 1) if len(w) >= 7 else None)
         if found:
             return found, words[:i] + words[i + 1 :]
     return "", words
