@@ -27,7 +27,6 @@ from billweave.llm.matching import (
     candidate_pairs,
     edit_distance,
     edit_similarity,
-    padded_grams,
     pairs_within,
     star_clusters,
 )
@@ -226,9 +225,9 @@ def with_places(read: DataFrame) -> DataFrame:
     places = spelled.groupBy("place").agg(F.sum("n").alias("weight"))
     # a town without a code, in a spelling no coded row uses
     lone = read.filter((F.col("code") == "") & (F.col("town") != "")).select("town").distinct().join(known, "town", "left_anti")
-    keys = band_keys(padded_grams(F.col("town")), 12, 1)
+    keys = band_keys(F.col("town"), 12, 1)
     near = lone.withColumn("band", F.explode(keys)).join(
-        places.withColumn("town2", F.col("place")).withColumn("band", F.explode(band_keys(padded_grams(F.col("place")), 12, 1))), "band"
+        places.withColumn("town2", F.col("place")).withColumn("band", F.explode(band_keys(F.col("place"), 12, 1))), "band"
     )
     near = near.withColumn("d", F.levenshtein("town", "place", 2)).filter(F.col("d") >= 0)
     guessed = near.groupBy("town").agg(F.min_by("place", F.struct("d", -F.col("weight"), "place")).alias("by_guess"))
@@ -260,7 +259,7 @@ def same_buildings(rows: DataFrame, key: str = "party_id", lines: str = "address
     fields = ("street", "kind", "number", "place")
     placed = placed.withColumn("id", F.xxhash64(*fields))
     forms = materialize(placed.groupBy("id", *fields).agg(F.sum("n").alias("weight")))
-    keys = band_keys(padded_grams(F.col("street")), 10, 1, F.col("number"), F.col("place"))
+    keys = band_keys(F.col("street"), 10, 1, F.col("number"), F.col("place"))
     pairs = candidate_pairs(forms, keys, *fields)
     pairs = pairs.filter(F.levenshtein("street_a", "street_b", 4) >= 0).distinct()
     verify = F.pandas_udf(_verify, "double")

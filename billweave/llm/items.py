@@ -17,14 +17,15 @@ no pair; repeated wordings of a seller are the same item; an empty table gives n
 from __future__ import annotations
 
 from collections import defaultdict
-from itertools import combinations
+from collections.abc import Iterator
+from itertools import combinations, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from billweave.llm.catalogue import read_catalogue, read_values
-from billweave.llm.matching import band_keys, candidate_pairs, edit_distance, padded_grams, pairs_within, star_clusters, tune_bands
+from billweave.llm.matching import band_keys, candidate_pairs, edit_distance, pairs_within, star_clusters, tune_bands
 from billweave.runtime import materialize
 
 SLIP_SIMILARITY = 0.5
@@ -147,11 +148,29 @@ def assign_items(sellers: list[str], signatures: list[tuple], counts: list[int])
     return items
 
 
-def _assign_family(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["seller", *_SIGNATURE])
-    signatures = [tuple(r) for r in group[list(_SIGNATURE)].itertuples(index=False)]
-    items = assign_items(list(group["seller"]), signatures, list(group["n"]))
-    return pd.DataFrame({"nid": group["nid"], "item": items})
+_NODE = ("tenant_id", "kind", "family", "seller", *_SIGNATURE, "nid", "n")
+
+
+def _assign_families(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Items of the families of one partition, whose rows come sorted by family."""
+
+    def settle(rows: list[tuple]) -> list[int]:
+        return assign_items([r[3] for r in rows], [r[4:9] for r in rows], [r[10] for r in rows]) if len(rows) > 1 else [0]
+
+    open_: list[tuple] = []
+    for batch in batches:
+        nids: list[int] = []
+        items: list[int] = []
+        for _, rows in groupby(batch[list(_NODE)].itertuples(index=False, name=None), key=lambda r: r[:3]):
+            new = list(rows)
+            if open_ and open_[0][:3] != new[0][:3]:
+                nids += [r[9] for r in open_]
+                items += settle(open_)
+                open_ = []
+            open_ += new
+        yield pd.DataFrame({"nid": nids, "item": items})
+    if open_:
+        yield pd.DataFrame({"nid": [r[9] for r in open_], "item": settle(open_)})
 
 
 def _rank_words(names: pd.Series) -> pd.Series:
@@ -165,7 +184,7 @@ def word_families(words: DataFrame) -> DataFrame:
     """
     forms = materialize(words.withColumn("id", F.xxhash64("tenant_id", "kind", "word")))
     bands = tune_bands(SLIP_SIMILARITY, ROWS, RECALL)
-    keys = band_keys(padded_grams(F.col("word")), bands, ROWS, F.col("tenant_id"), F.col("kind"))
+    keys = band_keys(F.col("word"), bands, ROWS, F.col("tenant_id"), F.col("kind"))
     pairs = candidate_pairs(forms, keys, "word", "weight")
     pairs = pairs.filter(F.levenshtein("word_a", "word_b", 2) >= 0).distinct()
     low, high = F.least("weight_a", "weight_b"), F.greatest("weight_a", "weight_b")
@@ -226,7 +245,9 @@ def same_items(lines: DataFrame, products: DataFrame) -> DataFrame:
     placed = materialize(placed.select("tid", *node).withColumn("nid", F.xxhash64(*node)))
     # rows are collapsed to distinct signatures before a family meets in one task
     nodes = placed.groupBy("nid", *node).agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("partner_id", "seller")
-    items = nodes.groupBy("tenant_id", "kind", "family").applyInPandas(_assign_family, "nid bigint, item int")
+    family = ("tenant_id", "kind", "family")
+    ordered = nodes.select(*_NODE).repartition(*family).sortWithinPartitions(*family, "seller", *_SIGNATURE)
+    items = ordered.mapInPandas(_assign_families, "nid bigint, item int")
     labels = placed.join(items, "nid").select("tid", F.xxhash64("tenant_id", "kind", "family", "item").alias("item"))
     line_keys = lines.select(F.concat(F.lit("L"), "line_id").alias("key"), F.xxhash64(*scope, "description").alias("tid"))
     product_keys = products.select(

@@ -4,32 +4,57 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billweave.runtime import materialize
 
 
-def padded_grams(text: Column, q: int = 2) -> Column:
-    """Distinct q-grams of a text padded with q - 1 marks on both sides; never empty."""
-    padded = F.concat(F.lit("^" * (q - 1)), text, F.lit("$" * (q - 1)))
-    last = F.greatest(F.char_length(padded) - (q - 1), F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(padded, i, F.lit(q))))
-
-
-def min_hashes(shingles: Column, count: int) -> list[Column]:
-    """``count`` independent MinHash values of a shingle array."""
-
-    def one(seed: int) -> Column:
-        return F.array_min(F.transform(shingles, lambda s: F.xxhash64(F.lit(seed), s)))
-
-    return [one(seed) for seed in range(count)]
-
-
-def band_keys(shingles: Column, bands: int, rows: int, *exact: Column) -> Column:
-    """Array of one key per band: the band's number, ``rows`` MinHash values and the exact columns."""
-    hashes = min_hashes(shingles, bands * rows)
-    return F.array(*[F.xxhash64(F.lit(b), *hashes[b * rows : (b + 1) * rows], *exact) for b in range(bands)])
+def gram_hashes(text: str, q: int) -> np.ndarray:
+    """Distinct q-grams of a text padded with q - 1 marks on both sides, as numbers; never empty."""
+    codes = np.frombuffer(("\x02" * (q - 1) + text + "\x03" * (q - 1)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    grams = np.zeros(max(len(codes) - q + 1, 1), dtype=np.uint64)
+    if len(codes) >= q:
+        for i in range(q):
+            grams = grams * np.uint64(0x110000) + codes[i : len(codes) - q + 1 + i].astype(np.uint64)
+    return np.unique(grams)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (the constants are those of SplitMix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def min_hash_bands(texts: list[str], bands: int, rows: int, q: int = 2) -> np.ndarray:
+    """One key per text and band, of ``rows`` MinHash values over the text's padded q-grams."""
+    if not texts:
+        return np.zeros((0, bands), dtype=np.int64)
+    each = [gram_hashes(x, q) for x in texts]
+    starts = np.concatenate([[0], np.cumsum([len(g) for g in each])[:-1]])
+    grams = np.concatenate(each)
+    keys = np.zeros((len(texts), bands), dtype=np.uint64)
+    step = np.uint64(0x9E3779B97F4A7C15)
+    for b in range(bands):
+        for r in range(rows):
+            seed = np.uint64(b * rows + r + 1) * step
+            least = np.minimum.reduceat(_mix(grams * step + seed), starts)
+            keys[:, b] = _mix(keys[:, b] + least + step)
+    return keys.view(np.int64)
+
+
+def band_keys(text: Column, bands: int, rows: int, *exact: Column, q: int = 2) -> Column:
+    """Array of one key per band: ``rows`` MinHash values over the text's q-grams, and the exact columns."""
+
+    def keys(texts: pd.Series) -> pd.Series:
+        found = min_hash_bands(list(texts), bands, rows, q)
+        return pd.Series(list(found), dtype=object)
+
+    made = F.pandas_udf(keys, "array<bigint>")(text)
+    return F.transform(made, lambda key, b: F.xxhash64(b, key, *exact))
 
 
 def banding_recall(similarity: float, bands: int, rows: int) -> float:

@@ -28,7 +28,6 @@ from billweave.llm.matching import (
     edit_distance,
     monge_elkan,
     nearest,
-    padded_grams,
     pairs_within,
     star_clusters,
     tune_bands,
@@ -238,7 +237,7 @@ def same_organisations(rows: DataFrame, key: str = "party_id", name: str = "name
     read = materialize(read.withColumn("id", F.xxhash64("stem", "trade")))
     forms = materialize(read.groupBy("id", "stem", "trade").agg(F.sum("n").alias("weight")))
     bands = tune_bands(SLIP_SIMILARITY, ROWS, RECALL)
-    keys = band_keys(padded_grams(F.col("stem")), bands, ROWS, F.col("trade"))
+    keys = band_keys(F.col("stem"), bands, ROWS, F.col("trade"))
     centers = _clusters(forms, keys, ("stem", "trade"), "stem", _verify_organisations)
     labels = read.select("value", "id").join(centers, "id").select("value", F.col("center").alias("organisation"))
     return rows.join(labels, "value").select(F.col("key").alias(key), "organisation")
@@ -256,7 +255,7 @@ def same_people(rows: DataFrame, organisations: DataFrame, key: str = "party_id"
     # a full first name outranks an initial, which outranks a bare family name
     full = F.when(F.char_length("first") > 1, 1 << 40).when(F.col("first") != "", 1 << 20).otherwise(0)
     forms = materialize(named.groupBy("id", *fields).agg((F.count(F.lit(1)) + full).alias("weight")))
-    keys = band_keys(padded_grams(F.col("family")), 8, 1, F.col("organisation"))
+    keys = band_keys(F.col("family"), 8, 1, F.col("organisation"))
     centers = _clusters(forms, keys, fields, "family", _verify_people)
     return named.join(centers, "id").select(key, F.col("center").alias("person"))
 

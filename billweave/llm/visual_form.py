@@ -15,9 +15,7 @@ values share one form.
 
 from __future__ import annotations
 
-import sys
 import unicodedata
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,30 +50,33 @@ _IGNORABLE = (
 PLAIN = "^[\\x20-\\x7E]*$"
 
 
-@lru_cache(maxsize=1)
-def _table() -> dict[int, str | None]:
-    """Character -> what it looks like, built by rule from the Unicode data."""
-    table: dict[int, str | None] = {}
-    for code in range(sys.maxunicode + 1):
+class _Looks(dict):
+    """Character -> what it looks like, worked out by rule when a character is first met."""
+
+    def __missing__(self, code: int) -> str | None:
         char = chr(code)
         kind = unicodedata.decomposition(char).split(" ")[0]
         ligature = any(a <= code <= b for a, b in _LIGATURES)
-        if char.isspace():
-            table[code] = " "
+        look: str | None = char
+        if char in LOOK_ALIKES:
+            look = LOOK_ALIKES[char]
+        elif char.isspace():
+            look = " "
         elif any(a <= code <= b for a, b in _IGNORABLE):
-            table[code] = None
+            look = None
         elif kind in _SAME_LOOK or ligature or (kind and kind[0] != "<"):
-            table[code] = unicodedata.normalize("NFKC" if kind[0] == "<" else "NFC", char)
-    for char, like in LOOK_ALIKES.items():
-        table[ord(char)] = like
-    return table
+            look = unicodedata.normalize("NFKC" if kind[0] == "<" else "NFC", char)
+        self[code] = look
+        return look
+
+
+_LOOKS = _Looks()
 
 
 def visual_text(text: str) -> str:
     """The composed form of one text, case kept."""
-    table = _table()
-    mapped = unicodedata.normalize("NFC", text.translate(table))
-    return unicodedata.normalize("NFC", mapped.translate(table))  # look-alikes that composing made
+    mapped = unicodedata.normalize("NFC", text.translate(_LOOKS))
+    return unicodedata.normalize("NFC", mapped.translate(_LOOKS))  # look-alikes that composing made
 
 
 def _forms(values: pd.Series) -> pd.DataFrame:
