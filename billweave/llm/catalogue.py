@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from billweave.llm.listings import Listing, catalogue_name, mentions, read_listing, read_product
+from billweave.llm.listings import KINDS, Listing, catalogue_name, mentions, read_listing, read_product
 from billweave.runtime import materialize
 
 THRESHOLD = 0.2
@@ -62,41 +62,40 @@ def read_catalogue(products: DataFrame) -> DataFrame:
 
 
 def name_grams(words: Column) -> Column:
-    """Distinct padded character grams of each word."""
-    mark = "_" * (GRAM - 1)
+    """Distinct character grams of each word, padded by two marks."""
 
     def of_word(word: Column) -> Column:
-        padded = F.concat(F.lit(mark), word, F.lit(mark))
-        return F.transform(F.sequence(F.lit(1), F.char_length(word) + GRAM - 1), lambda i: F.substring(padded, i, F.lit(GRAM)))
+        padded = F.concat(F.lit("__"), word, F.lit("__"))
+        return F.transform(F.sequence(F.lit(1), F.char_length(word) + 5 - GRAM), lambda i: F.substring(padded, i, F.lit(GRAM)))
 
     kept = F.filter(F.split(words, " "), lambda w: F.char_length(w) >= 3)
     return F.array_distinct(F.flatten(F.transform(kept, of_word)))
 
 
-def name_candidates(queries: DataFrame, catalogue: DataFrame, scope: tuple[str, ...], threshold: float) -> DataFrame:
-    """(qid, scope, name, cosine) of the catalogue names each query is near to, or shares a code with.
+def name_candidates(queries: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
+    """(qid, fid, cosine) of the catalogue names each query is near to, and mentions.
 
-    ``queries`` has (qid, scope, names, code), ``catalogue`` (scope, name, code). The index holds
-    distinct names, so neither side carries rows; its weights cover the whole catalogue.
+    ``queries`` has (qid, scope, kind, names), ``units`` (fid, scope, kind, name), both distinct.
+    The index carries numbers only; its weights cover the whole catalogue. A posting lies under
+    its kind and under '', a query looks under its own kind or, knowing none, under ''; a unit of
+    unknown kind lies under every kind.
     """
-    units = catalogue.select(*scope, "name").filter(F.col("name") != "").distinct()
-    posts = units.select(*scope, "name", F.explode(name_grams(F.col("name"))).alias("gram"))
-    df = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    total = df.agg(F.max("df").alias("n"))  # an upper bound of any weight's document count
-    df = df.crossJoin(F.broadcast(total)).select("gram", F.log1p(F.col("n") / F.col("df")).alias("w"))
-    df = materialize(df)
-    posts = posts.join(df, "gram")
-    norms = posts.groupBy(*scope, "name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("d_norm"))
-    asked = queries.select("qid", *scope, F.explode(name_grams(F.col("names"))).alias("gram")).join(df, "gram")
-    q_norms = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q_norm"))
-    hits = asked.join(posts.drop("w"), [*scope, "gram"]).groupBy("qid", *scope, "name")
-    dots = hits.agg(F.sum(F.col("w") * F.col("w")).alias("dot")).join(q_norms, "qid").join(norms, [*scope, "name"])
-    near = dots.withColumn("cosine", F.col("dot") / (F.col("q_norm") * F.col("d_norm"))).filter(F.col("cosine") >= threshold)
-    near = near.select("qid", *scope, "name", "cosine")
-    coded = catalogue.filter(F.col("code") != "").select(*scope, "name", "code").distinct()
-    shared = queries.filter(F.col("code") != "").select("qid", *scope, "code").join(coded, [*scope, "code"])
-    shared = shared.select("qid", *scope, "name", F.lit(1.0).alias("cosine"))
-    return near.unionByName(shared).groupBy("qid", *scope, "name").agg(F.max("cosine").alias("cosine"))
+    grams = units.select("fid", "scope", "kind", F.explode(name_grams(F.col("name"))).alias("gram"))
+    df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    total = units.agg(F.count(F.lit(1)).alias("n"))
+    df = materialize(df.join(F.broadcast(total)).select("gram", F.log1p(F.col("n") / F.col("df")).cast("float").alias("w")))
+    weighed = grams.join(df, "gram")
+    norms = weighed.groupBy("fid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    under = F.when(F.col("kind") == "", F.array(*map(F.lit, ("", *KINDS)))).otherwise(F.array("kind", F.lit("")))
+    posts = weighed.join(norms, "fid").select("fid", "scope", "gram", (F.col("w") / F.col("norm")).alias("wd"), F.explode(under).alias("kind"))
+    posts = posts.select("fid", F.xxhash64("scope", "kind", "gram").alias("g"), "wd")
+    asked = queries.select("qid", "scope", "kind", F.explode(name_grams(F.col("names"))).alias("gram")).join(df, "gram")
+    q_norms = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    asked = asked.join(q_norms, "qid").select("qid", F.xxhash64("scope", "kind", "gram").alias("g"), (F.col("w") / F.col("norm")).alias("wq"))
+    near = asked.join(posts, "g").groupBy("qid", "fid").agg(F.sum(F.col("wq") * F.col("wd")).alias("cosine"))
+    near = near.filter(F.col("cosine") >= threshold)
+    near = near.join(queries.select("qid", "names"), "qid").join(units.select("fid", "name"), "fid")
+    return near.filter(F.pandas_udf(_mentions, "boolean")("names", "name")).select("qid", "fid", "cosine")
 
 
 def _stated(a: Column, b: Column) -> Column:
@@ -107,13 +106,23 @@ def map_to_catalogue(
     values: DataFrame, products: DataFrame, key: str, text: str, threshold: float = THRESHOLD, margin: float = MARGIN
 ) -> DataFrame:
     """(key, product_id) of every row of ``values``, '' where its scope holds no such product."""
-    distinct = values.select(*SCOPE, text).filter(F.col(text).isNotNull()).distinct()
-    asked = materialize(read_values(distinct, text).withColumn("qid", F.xxhash64(*SCOPE, text)))
-    catalogue = materialize(read_catalogue(products))
-    candidates = name_candidates(asked.select("qid", *SCOPE, "names", "code"), catalogue, SCOPE, threshold)
-    held = catalogue.select("product_id", *SCOPE, "name", *[F.col(f).alias(f"p_{f}") for f in (*PROPERTIES, "code")])
-    said = asked.select("qid", "names", *PROPERTIES, "code")
-    pairs = candidates.join(held, [*SCOPE, "name"]).join(said, "qid")
+    scope = F.when(F.col("tenant_id").isNotNull() & F.col("partner_id").isNotNull(), F.xxhash64(*SCOPE))
+    distinct = values.select(*SCOPE, text).filter(F.col(text).isNotNull() & scope.isNotNull()).distinct()
+    asked = read_values(distinct, text).select(
+        F.xxhash64(*SCOPE, text).alias("qid"), scope.alias("scope"), F.xxhash64(scope, "kind", "names").alias("nid"), "names",
+        *PROPERTIES, "code",
+    )
+    asked = materialize(asked)
+    held = read_catalogue(products).withColumn("scope", scope).filter(F.col("scope").isNotNull())
+    held = held.select("product_id", "scope", "name", F.xxhash64("scope", "kind", "name").alias("fid"), *[F.col(f).alias(f"p_{f}") for f in (*PROPERTIES, "code")])
+    held = materialize(held)
+    units = held.filter(F.col("name") != "").select("fid", "scope", F.col("p_kind").alias("kind"), "name").distinct()
+    wordings = asked.filter(F.col("names") != "").select(F.col("nid").alias("qid"), "scope", "kind", "names").distinct()
+    named = name_candidates(wordings, units, threshold).withColumnRenamed("qid", "nid")
+    by_name = asked.drop("scope", "names").join(named, "nid").join(held.drop("scope", "name"), "fid").drop("nid", "fid")
+    coded = asked.filter(F.col("code") != "").drop("nid", "names")
+    by_code = coded.join(held.drop("fid", "name").withColumn("code", F.col("p_code")), ["scope", "code"]).drop("scope")
+    pairs = by_name.unionByName(by_code.withColumn("cosine", F.lit(1.0)).select(by_name.columns))
     conflict = F.lit(False)
     equal, missing = F.lit(0), F.lit(0)
     for f in (*PROPERTIES, "code"):
@@ -126,10 +135,10 @@ def map_to_catalogue(
     one = F.lit("1")
     same_pack = F.coalesce(F.nullif("pack", F.lit("")), one) == F.coalesce(F.nullif("p_pack", F.lit("")), one)
     pairs = pairs.filter(~conflict)
-    pairs = pairs.filter(same_code | F.pandas_udf(_mentions, "boolean")("names", "name"))
     ranked = pairs.select(
         "qid", "product_id", "cosine", F.struct(same_code.alias("c"), same_pack.alias("p"), equal.alias("e"), (-missing).alias("m")).alias("r")
     )
+    ranked = ranked.groupBy("qid", "product_id").agg(F.max("cosine").alias("cosine"), F.max("r").alias("r"))
     order = Window.partitionBy("qid").orderBy(F.desc("r"), F.desc("cosine"), "product_id")
     ranked = ranked.withColumns(
         {"place": F.row_number().over(order), "next_r": F.lead("r").over(order), "next_cosine": F.lead("cosine").over(order)}
