@@ -1,8 +1,8 @@
 """Registered queries and their reference SQL."""
 
-from billweave.plans import parsing
+from billweave.plans import core, parsing
 
-_MODULES = (parsing,)
+_MODULES = (core, parsing)
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLE = {k: q for m in _MODULES for k, q in m.ORACLE.items()}
-flagship = parsing.p6_loaded
+flagship = core.flagship
