@@ -64,11 +64,10 @@ def encode_corpus(
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path, leaf_bytes)
         for batch in batches:
-            for row, body in zip(batch["row"], batch["text"]):
+            for row, name, body in zip(batch["row"], batch["key"], batch["text"]):
                 parts = list(e.stretches(body, stretch_chars))
-                yield pd.DataFrame(
-                    {"row": row, "no": range(len(parts)), "kind": [k for k, _ in parts], "raw": [x for _, x in parts]}
-                )
+                kinds, raws = [k for k, _ in parts], [x for _, x in parts]
+                yield pd.DataFrame({"row": row, "key": [name] * len(parts), "no": range(len(parts)), "kind": kinds, "raw": raws})
 
     @F.pandas_udf("array<int>")
     def part_ids(kinds: pd.Series, raws: pd.Series) -> pd.Series:
@@ -78,12 +77,12 @@ def encode_corpus(
     def whole(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("no")
         ids = encoder(path, leaf_bytes).assemble(list(group["kind"]), [list(x) for x in group["ids"]])
-        return pd.DataFrame({"row": [group["row"].iloc[0]], "ids": [ids]})
+        return pd.DataFrame({"key": [group["key"].iloc[0]], "ids": [ids]})
 
     # the row number keeps repeated keys apart; it is stable because it is taken at the scan
     numbered = rows.withColumn("row", F.monotonically_increasing_id()).filter(is_long)
-    parts = numbered.select("row", "text").mapInPandas(cut, "row bigint, no int, kind int, raw binary")
-    spread = parts.repartition("row", "no").select("row", "no", "kind", part_ids("kind", "raw").alias("ids"))
-    joined = spread.groupBy("row").applyInPandas(whole, "row bigint, ids array<int>")
-    long = numbered.select("row", "key").join(joined, "row").select("key", "ids")
+    of_key = rows.schema["key"].dataType.simpleString()
+    parts = numbered.mapInPandas(cut, f"row bigint, key {of_key}, no int, kind int, raw binary")
+    spread = parts.repartition("row", "no").select("row", "key", "no", "kind", part_ids("kind", "raw").alias("ids"))
+    long = spread.groupBy("row").applyInPandas(whole, f"key {of_key}, ids array<int>")
     return short.unionByName(long).withColumnRenamed("key", key)
