@@ -114,6 +114,8 @@ def fill_containers(
         return items[["row", "piece_no", "first_token", "tokens"]].assign(container=[f"mix-{group}-{w}" for w in windows])
 
     schema = "row bigint, piece_no int, first_token int, tokens int, container string"
-    packed = open_items.groupBy("group").applyInPandas(pack_group, schema)
+    # the sizes are few bytes but much work: a stated number of tasks, each of a few groups
+    dealt = open_items.repartition(-(-groups // 4), "group")
+    packed = dealt.groupBy("group").applyInPandas(pack_group, schema)
     mixed = packed.join(sized.select("row", "key"), "row").select("key", "piece_no", "first_token", "tokens", "container")
     return mixed.unionByName(own).withColumnRenamed("key", key)
