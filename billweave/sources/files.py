@@ -1,7 +1,8 @@
 """Invoice files: admission, format dispatch, and readers that give ragged rows or text.
 
 Every reader works on the ``binaryFile`` source, so any number of files is read in parallel;
-one file is one task's work. Files that cannot be read become rows with an error instead.
+one file is one task's work. Files that cannot be read become rows with an error instead; empty
+files are not listed by the source at all.
 """
 
 from __future__ import annotations
