@@ -76,6 +76,11 @@ _CAMEL = re.compile(r"(?<=[a-zäöüß])(?=[A-ZÄÖÜ])")
 _SPELLINGS = {s: t for t, all_ in STREET_TYPES.items() for s in all_ if t not in _COMPOUND} | {
     s: t for t in _COMPOUND for s in STREET_TYPES[t] if s not in ("str", "g", "all")
 }
+#: Spelling or type -> the types it can stand for.
+_MEANINGS: dict[str, set[str]] = {}
+for _type, _ways in STREET_TYPES.items():
+    for _way in (_type, *_ways):
+        _MEANINGS.setdefault(_way, set()).add(_type)
 _LONG = sorted({(s, t) for t, all_ in STREET_TYPES.items() for s in all_ if len(s) >= 4}, key=lambda x: -len(x[0]))
 
 #: Endings of compound street names, the longest first, so that "g" is tried last.
@@ -153,7 +158,7 @@ def alignment_cost(a: list[str], b: list[str], opened: float = 0.7, extended: fl
     """Cheapest affine-gap alignment of two token lists; like spellings and abbreviations cost little."""
 
     def swap(x: str, y: str) -> float:
-        if x == y or (_SPELLINGS.get(x, x) == _SPELLINGS.get(y, y)):
+        if x == y or _MEANINGS.get(x, set()) & _MEANINGS.get(y, set()):
             return 0.0
         if x.isdigit() or y.isdigit():
             return 2.0

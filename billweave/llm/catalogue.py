@@ -82,8 +82,7 @@ def name_candidates(queries: DataFrame, units: DataFrame, threshold: float) -> D
     """
     grams = units.select("fid", "scope", "kind", F.explode(name_grams(F.col("name"))).alias("gram"))
     df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    total = units.agg(F.count(F.lit(1)).alias("n"))
-    df = materialize(df.join(F.broadcast(total)).select("gram", F.log1p(F.col("n") / F.col("df")).cast("float").alias("w")))
+    df = materialize(df.select("gram", F.log1p(F.lit(units.count()) / F.col("df")).cast("float").alias("w")))
     weighed = grams.join(df, "gram")
     norms = weighed.groupBy("fid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     under = F.when(F.col("kind") == "", F.array(*map(F.lit, ("", *KINDS)))).otherwise(F.array("kind", F.lit("")))
@@ -107,9 +106,10 @@ def map_to_catalogue(
 ) -> DataFrame:
     """(key, product_id) of every row of ``values``, '' where its scope holds no such product."""
     scope = F.when(F.col("tenant_id").isNotNull() & F.col("partner_id").isNotNull(), F.xxhash64(*SCOPE))
-    distinct = values.select(*SCOPE, text).filter(F.col(text).isNotNull() & scope.isNotNull()).distinct()
-    asked = read_values(distinct, text).select(
-        F.xxhash64(*SCOPE, text).alias("qid"), scope.alias("scope"), F.xxhash64(scope, "kind", "names").alias("nid"), "names",
+    values = values.select(F.col(key).alias("__key"), *SCOPE, F.col(text).alias("__text"))
+    distinct = values.select(*SCOPE, "__text").filter(F.col("__text").isNotNull() & scope.isNotNull()).distinct()
+    asked = read_values(distinct, "__text").select(
+        F.xxhash64(*SCOPE, "__text").alias("qid"), scope.alias("scope"), F.xxhash64(scope, "kind", "names").alias("nid"), "names",
         *PROPERTIES, "code",
     )
     asked = materialize(asked)
@@ -147,7 +147,7 @@ def map_to_catalogue(
     clear = F.col("next_r").isNull() | (F.col("r") != F.col("next_r")) | (F.col("cosine") == F.col("next_cosine"))
     clear = clear | (F.col("cosine") - F.col("next_cosine") >= margin)
     best = ranked.filter((F.col("place") == 1) & clear).select("qid", "product_id")
-    rows = values.select(F.col(key).alias("key"), F.xxhash64(*SCOPE, text).alias("qid"))
+    rows = values.select("__key", F.xxhash64(*SCOPE, "__text").alias("qid"))
     return rows.join(best, "qid", "left").select(
-        F.col("key").alias(key), F.coalesce("product_id", F.lit("")).alias("product_id")
+        F.col("__key").alias(key), F.coalesce("product_id", F.lit("")).alias("product_id")
     )

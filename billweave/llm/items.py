@@ -10,8 +10,8 @@
    where no stated property differs and the merged item keeps one listing per seller, which
    holds for every cycle of matches.
 
-Defined results: null and empty wordings, and wordings without a kind and a part number, are in
-no pair; repeated wordings of a seller are the same item; an empty table gives no rows.
+Defined results: null and empty wordings, wordings without a kind and a part number, and rows
+without tenant or partner are in no pair; repeated wordings of a seller are the same item; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -207,6 +207,8 @@ def same_items(lines: DataFrame, products: DataFrame) -> DataFrame:
     columns. The item identifies a group of equal items of one tenant.
     """
     scope = ("tenant_id", "partner_id")
+    scoped = F.col("tenant_id").isNotNull() & F.col("partner_id").isNotNull()
+    lines, products = lines.filter(scoped), products.filter(scoped)
     texts = lines.select(*scope, "description").filter(F.col("description").isNotNull()).distinct()
     said = read_values(texts.withColumn("tid", F.xxhash64(*scope, "description")), "description").drop("description")
     held = read_catalogue(products)

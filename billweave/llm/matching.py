@@ -40,7 +40,7 @@ def min_hash_bands(texts: list[str], bands: int, rows: int, q: int = 2) -> np.nd
     step = np.uint64(0x9E3779B97F4A7C15)
     for b in range(bands):
         for r in range(rows):
-            seed = np.uint64(b * rows + r + 1) * step
+            seed = np.uint64((b * rows + r + 1) * int(step) & 0xFFFFFFFFFFFFFFFF)
             least = np.minimum.reduceat(_mix(grams * step + seed), starts)
             keys[:, b] = _mix(keys[:, b] + least + step)
     return keys.view(np.int64)

@@ -8,7 +8,7 @@ an Arrow UDF, all others are their own form. Two forms are given:
 * ``folded``: the same with full case folding, the form under which values are compared.
 
 Superscripts, fractions, circled and similar characters look different from their plain
-forms and stay. A letter keeps its accent. Defined results: null stays null and is in no pair,
+forms and stay. A letter keeps its accent. Defined results: null stays null and is in no pair, nor is a row without a key;
 the empty text is its own form and pairs only with texts of invisible characters; repeated
 values share one form.
 """
@@ -98,7 +98,8 @@ def normalise_text(rows: DataFrame, column: str) -> DataFrame:
     """``rows`` with the folded form of ``column`` in ``<column>_form``."""
     forms = with_forms(rows.select(F.col(column).alias("__value")).distinct(), "__value")
     forms = forms.select("__value", F.col("folded").alias(f"{column}_form"))
-    return rows.join(forms, rows[column].eqNullSafe(forms["__value"]), "left").drop("__value")
+    kept = rows.drop(f"{column}_form")
+    return kept.join(forms, kept[column].eqNullSafe(forms["__value"]), "left").drop("__value")
 
 
 def look_alike_pairs(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -107,7 +108,8 @@ def look_alike_pairs(rows: DataFrame, key: str, text: str) -> DataFrame:
     Pairs are made between the distinct texts of one form and only then spread to the rows, so
     copies of one text never meet each other.
     """
-    rows = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    rows = rows.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = rows.filter(F.col("text").isNotNull() & F.col("key").isNotNull())
     forms = with_forms(rows.select("text").distinct(), "text")
     # a form that two texts share has a text that is not its own form
     shared = forms.filter(F.col("text") != F.col("visual")).select("folded").distinct()
