@@ -231,16 +231,18 @@ def same_items(lines: DataFrame, products: DataFrame) -> DataFrame:
     chosen = used.groupBy("tid").agg(F.max_by("family", F.struct("head_weight", "family")).alias("family"))
     placed = both.join(chosen, "tid", "left")
 
-    # a part number names the family of wordings that give no name
+    # a part number names one item: the family that most of its wordings give holds for all of them
     known = placed.filter((F.col("code") != "") & F.col("family").isNotNull())
-    by_code = known.groupBy("tenant_id", "code").agg(F.max_by(F.struct("kind", "family"), F.struct("kind", "family")).alias("of_code"))
+    counted = known.groupBy("tenant_id", "code", "kind", "family").agg(F.count(F.lit(1)).alias("n"))
+    best = F.max_by(F.struct("kind", "family"), F.struct("n", "kind", "family"))
+    by_code = counted.groupBy("tenant_id", "code").agg(best.alias("of_code"))
     placed = placed.join(by_code, ["tenant_id", "code"], "left")
-    use_code = (F.col("kind") == "") | F.col("family").isNull()
+    own = F.when(F.col("kind") != "", F.col("family"))
     coded = F.when(F.col("code") != "", F.concat(F.lit("#"), "code"))
     placed = placed.withColumns(
         {
-            "family": F.when(use_code, F.coalesce("of_code.family", coded)).otherwise(F.col("family")),
-            "kind": F.when(use_code, F.coalesce("of_code.kind", F.lit(""))).otherwise(F.col("kind")),
+            "family": F.coalesce("of_code.family", own, coded),
+            "kind": F.coalesce("of_code.kind", F.when(own.isNotNull(), F.col("kind")), F.lit("")),
         }
     ).filter(F.col("family").isNotNull())
     node = ("tenant_id", "kind", "family", "partner_id", *_SIGNATURE)
