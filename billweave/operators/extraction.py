@@ -90,6 +90,41 @@ def text_to_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def vertical_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Lines of tables whose cells stand one to a text line: after the header, groups of four.
+
+    The header runs from a line "description" to a line "total" within eight; a group whose three
+    numbers do not parse moves on by one line, a stop word ends the table. Only texts without
+    a row of the ordinary form belong here. One text's cells are walked in one expression.
+    """
+    lines = F.filter(F.transform(F.split(F.col(text), "\\r\\n|\\r|\\n"), collapse_whitespace), lambda x: x != "")
+    read = docs.select(key, lines.alias("c")).withColumn("low", F.transform("c", F.lower))
+    start = F.array_position("low", "description").cast("int")
+    ends = F.array_position(F.slice("low", F.greatest(start, F.lit(1)), F.lit(8)), "total").cast("int")
+    first = F.when(ends > 0, start + ends - 1).otherwise(start)
+    stop = F.lit("^(" + "|".join(STOP_WORDS) + ")")
+    body = read.filter(start > 0).select(key, F.slice("c", first + 1, F.size("c")).alias("c"))
+    until = F.get(F.filter(F.transform("c", lambda x, i: F.when(F.regexp_like(F.lower(x), stop), i)), lambda i: i.isNotNull()), F.lit(0))
+    body = body.select(key, F.slice("c", F.lit(1), F.coalesce(until, F.size("c"))).alias("c"))
+    body = body.withColumn("num", F.transform("c", lambda x: parse_decimal(x, "decimal(20,4)")))
+    fits = lambda i: F.forall(F.sequence(i + 1, i + 3), lambda j: F.get("num", j).isNotNull())
+    # the walk: state (next free position, starts so far)
+    zero = F.struct(F.lit(0).alias("free"), F.array().cast("array<int>").alias("at"))
+    walk = F.aggregate(
+        F.sequence(F.lit(0), F.size("c") - 4),
+        zero,
+        lambda s, i: F.when(
+            (i >= s["free"]) & fits(i), F.struct((i + 4).alias("free"), F.concat(s["at"], F.array(i)).alias("at"))
+        ).otherwise(s),
+    )
+    rows = body.filter(F.size("c") >= 4).select(key, "c", "num", F.explode(walk["at"]).alias("i"))
+    cell = lambda n: F.get("num", F.col("i") + n)
+    return rows.select(
+        key, (F.col("i") + 1).alias("position"), F.get("c", F.col("i")).alias("description"), cell(1).alias("quantity"),
+        cell(2).alias("unit_price"), cell(3).alias("total"),
+    )
+
+
 def declared_subtotal(text: Column) -> Column:
     """The last number of the first line that starts with "subtotal" but not with "subtotal less"."""
     line = F.regexp_extract(text, "(?im)^[ \\t]*(subtotal(?!\\s+less)[^\\r\\n]*)$", 1)

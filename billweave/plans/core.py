@@ -12,6 +12,8 @@ from billweave.functions.money import decimal_text, money, parse_decimal, to_dec
 from billweave.functions.scoring import generated_policy, retrieval_policy, review_priority, token_cost
 from billweave.operators import evaluation as E
 from billweave.operators import extraction as X
+from billweave.operators import lookups as K
+from billweave.operators import parties as P
 from billweave.operators import quality as Q
 from billweave.operators import retrieval as R
 from billweave.operators import reviews as V
@@ -570,6 +572,47 @@ def policy_scores(spark, d):
     return lines.select("line_id", policy.alias("policy"), priority.alias("priority"), cost.alias("cost"))
 
 
+@query("""WITH r AS (SELECT source_name, row_no, lower(replace(trim(string_split(c1, delimiter)[1], ' '), ' ', '_')) AS k, nullif(trim(string_split(c1, delimiter)[2], ' '), '') AS v
+FROM equivalent_invoice WHERE section = 'meta' AND c1 NOT LIKE '%"%'), m AS (SELECT source_name, k, arg_max(v, row_no) AS v FROM r WHERE v IS NOT NULL AND k <> '' GROUP BY 1, 2)
+SELECT source_name, regexp_extract(k, '^(seller|bill_to|ship_to)_name$', 1) AS role, v AS name FROM m WHERE regexp_matches(k, '^(seller|bill_to|ship_to)_name$')""")
+def delivered_file_parties(spark, d):
+    """Parties named in the headers of delivered files."""
+    pairs = X.key_values(_raw_cells(spark, d, "meta"), "source_name", "row_no", "cells")
+    return P.from_key_values(pairs, "source_name").select("source_name", "role", "name")
+
+
+@query("""SELECT document_id, coalesce(CASE partner_id WHEN 'partner-005' THEN 'upper' END, 'title') AS style FROM invoice_documents""")
+def style_with_default(spark, d):
+    """A style per document by its partner, else the default one."""
+    styles = spark.createDataFrame([("partner-005", "upper"), ("default", "title")], "partner_id string, style string")
+    return K.lookup(table(spark, d, "invoice_documents").select("document_id", "partner_id"), styles, "partner_id", "style").select("document_id", "style")
+
+
+@query("""SELECT doc_id, CASE WHEN contains(text, 'INVOICE') THEN 'invoice' WHEN contains(text, 'reminder') THEN 'reminder' ELSE 'other' END AS kind FROM documents""")
+def first_answer_contained(spark, d):
+    """The first phrase of a list that a document contains."""
+    kind = K.first_contained(F.col("text"), [("INVOICE", "invoice"), ("reminder", "reminder")], "other")
+    return table(spark, d, "documents").select("doc_id", kind.alias("kind"))
+
+
+@query()
+def item_regions(spark, d):
+    """The part of each document around its items, without personal data."""
+    return table(spark, d, "documents").select("doc_id", K.item_region(F.col("text"), 12_000).alias("region"))
+
+
+@query()
+def text_vertical_tables(spark, d):
+    """Lines of documents whose table cells stand one to a text line."""
+    return X.vertical_lines(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def text_layout_parties(spark, d):
+    """Parties of documents laid out in three columns."""
+    return P.from_layout(table(spark, d, "documents"), "doc_id", "text")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The flagship query."""
     return exact_alias_resolution(spark, d)
