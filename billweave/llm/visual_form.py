@@ -29,7 +29,7 @@ LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O",
     "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Һ": "h",
     "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x",
-    "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "Ӏ": "I", "Ё": "Ë", "ё": "ë", "Ї": "Ï", "ї": "ï",
+    "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "Ӏ": "I", "ɡ": "g",
     # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
     "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
@@ -39,8 +39,8 @@ LOOK_ALIKES = {
 
 #: Compatibility mappings whose result looks like the source (fixed values).
 _SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<font>")
-#: Ligatures and digraph letters, which look like the letters they stand for.
-_LIGATURES = ((0x0132, 0x0133), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0xFB00, 0xFB06))
+#: Ligatures, digraph letters and Roman numerals, which look like the letters they stand for.
+_LIGATURES = ((0x0132, 0x0133), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x2160, 0x217F), (0xFB00, 0xFB06))
 #: Ranges of default-ignorable characters outside the format category (fixed values).
 _IGNORABLE = (
     (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F),
@@ -75,8 +75,9 @@ _LOOKS = _Looks()
 
 def visual_text(text: str) -> str:
     """The composed form of one text, case kept."""
-    mapped = unicodedata.normalize("NFC", text.translate(_LOOKS))
-    return unicodedata.normalize("NFC", mapped.translate(_LOOKS))  # look-alikes that composing made
+    # letters are mapped apart from their accents, so accented look-alikes meet as well
+    parts = unicodedata.normalize("NFD", text).translate(_LOOKS)
+    return unicodedata.normalize("NFC", parts)
 
 
 def _forms(values: pd.Series) -> pd.DataFrame:

@@ -115,6 +115,8 @@ def test_visual_forms():
     assert visual_text("Ｆｉｎｅ‐ｃｕｔ　ﬁt") == "Fine-cut fit"
     assert visual_text("Crème") == "Crème" != visual_text("Creme")
     assert visual_text("Ѕоck‍⁠") == "Sock" and visual_text("x²") == "x²" and visual_text("½") == "½"
+    assert visual_text("ёлка Ά ў") == visual_text("e\u0308лкa A\u0301 y\u0306") and visual_text("Ⅻ ɡ") == "XII g"
+    assert visual_text("й") == "й" != visual_text("и") and visual_text("한글") == "한글"
     assert visual_text("K") == "K" and visual_text("a\tb") == "a b" and visual_text("a  b") == "a  b" and visual_text("") == ""
 
 
