@@ -107,3 +107,20 @@ def loaded_raw_rows(rows: DataFrame) -> DataFrame:
         parse_decimal(F.col("unit_price"), "decimal(20,4)").alias("unit_price"),
         parse_decimal(F.col("total"), "decimal(20,4)").alias("total"),
     )
+
+
+def loaded_lines(lines: DataFrame) -> DataFrame:
+    """The stored lines whose amounts load, typed; the complement of :func:`rejected_lines`.
+
+    Each row is judged by itself, so a row without a line_id is loaded or rejected like any other.
+    """
+    good = F.lit(True)
+    for amount in ("unit_price", "total"):
+        good = good & (is_missing(F.col(amount)) | is_number(F.col(amount)))
+    return lines.filter(good).select(
+        "line_id",
+        "description",
+        parse_decimal(F.col("quantity"), "decimal(20,6)").alias("quantity"),
+        parse_decimal(F.col("unit_price"), "decimal(20,4)").alias("unit_price"),
+        parse_decimal(F.col("total"), "decimal(20,4)").alias("total"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.operators.row_quarantine import loaded_raw_rows, rejected_lines, rejected_raw_rows
+from billweave.operators.row_quarantine import LINE_FIELDS, loaded_lines, loaded_raw_rows, rejected_lines, rejected_raw_rows
 from billweave.runtime import table
 
 
@@ -18,8 +18,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw line rows that load, as typed lines."""
-    return loaded_raw_rows(table(spark, sf_dir, "equivalent_invoice"))
+    """Raw rows (R) and lines (L) that load, as typed lines: all that p6_found does not set apart."""
+    raw = loaded_raw_rows(table(spark, sf_dir, "equivalent_invoice"))
+    lines = loaded_lines(table(spark, sf_dir, "invoice_lines"))
+    tagged = [
+        d.select(F.concat(F.lit(tag), F.col(key)).alias("source_key"), *LINE_FIELDS)
+        for tag, key, d in (("R", "row_id", raw), ("L", "line_id", lines))
+    ]
+    return tagged[0].unionByName(tagged[1])
 
 
 QUERIES = {"p6_found": p6_found, "p6_loaded": p6_loaded}
