@@ -18,6 +18,12 @@ NUMBER_GRAMMAR = (
     f"(?:{_BLANK}[.,][0-9]{{1,4}})?{_BLANK}{_CURRENCY}{_BLANK}$"
 )
 
+#: The same grammar with the sign, the whole part and the decimal part as groups.
+_NUMBER_PARTS = (
+    f"^{_BLANK}([+-]?){_BLANK}{_CURRENCY}{_BLANK}([0-9]+|{_GROUPS})"
+    f"(?:{_BLANK}[.,]([0-9]{{1,4}}))?{_BLANK}{_CURRENCY}{_BLANK}$"
+)
+
 
 def is_missing(value: Column) -> Column:
     """Null or blank text: a missing number, not a failure."""
@@ -29,6 +35,24 @@ def is_number(value: Column) -> Column:
     return value.rlike(NUMBER_GRAMMAR)
 
 
+def number_text(value: Column) -> Column:
+    """Plain decimal text of a number of the strict grammar, of any length; null for all else.
+
+    A mark that repeats groups the digits; a last mark, of the same kind too, is the decimal mark
+    where the digits before it can stand alone. So ``1,234`` is one and a fraction, ``1,234,567`` whole.
+    """
+    parts = F.regexp_replace(F.regexp_replace(value, _NUMBER_PARTS, "$1$2;$3"), "[^0-9;-]", "")
+    plain = F.regexp_replace(F.replace(parts, F.lit(";"), F.lit(".")), "\\.$", "")
+    return F.when(is_number(value), F.regexp_replace(plain, "^(-?)0+(?=[0-9])", "$1"))
+
+
+def typed_number(text: Column, dtype: str) -> Column:
+    """Text of :func:`number_text` as a decimal; null where its whole part is too long for ``dtype``."""
+    precision, scale = map(int, dtype[len("decimal(") : -1].split(","))
+    whole = F.char_length(F.regexp_replace(text, "^-|[.].*", ""))
+    return F.when(whole <= precision - scale, text).try_cast(dtype)
+
+
 def parse_decimal(value: Column, dtype: str = QUANTITY) -> Column:
     """Locale-tolerant decimal; blank or unusable text gives null, never an error.
 

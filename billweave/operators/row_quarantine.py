@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from billweave.functions.money import is_missing, is_number, parse_decimal
+from billweave.functions.money import MONEY, QUANTITY, is_missing, is_number, number_text, typed_number
 from billweave.runtime import broadcast_if_small, materialize
 
 LINE_FIELDS = ("description", "quantity", "unit_price", "total")
@@ -96,17 +96,26 @@ def rejected_lines(lines: DataFrame) -> DataFrame:
     return number_failures(lines, "line_id", ("unit_price", "total")).select("key", "reason")
 
 
+def with_typed_amounts(rows: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, the three numbers typed, and ``untyped``: (field, text) of those without a typed value."""
+    amounts = dict(zip(LINE_FIELDS[1:], (QUANTITY, MONEY, MONEY)))
+    read = rows.select(*keep, *amounts, *[number_text(F.col(f)).alias(f"__{f}_text") for f in amounts])
+    typed = {f: typed_number(F.col(f"__{f}_text"), dtype) for f, dtype in amounts.items()}
+    left = [
+        F.when(
+            typed[f].isNull() & ~is_missing(F.col(f)),
+            F.struct(F.lit(f).alias("field"), F.coalesce(f"__{f}_text", f).alias("text")),
+        )
+        for f in amounts
+    ]
+    return read.select(*keep, *[c.alias(f) for f, c in typed.items()], F.array_compact(F.array(*left)).alias("untyped"))
+
+
 def loaded_raw_rows(rows: DataFrame) -> DataFrame:
     """The raw line rows that load, typed; the complement of :func:`rejected_raw_rows`."""
     parsed = raw_row_fields(rows.filter(F.col("section") == "line")).filter(F.col("structure").isNull())
     good = parsed.join(rejected_raw_rows(rows).select("key"), "key", "left_anti")
-    return good.select(
-        F.col("key").alias("row_id"),
-        F.col("description"),
-        parse_decimal(F.col("quantity"), "decimal(20,6)").alias("quantity"),
-        parse_decimal(F.col("unit_price"), "decimal(20,4)").alias("unit_price"),
-        parse_decimal(F.col("total"), "decimal(20,4)").alias("total"),
-    )
+    return with_typed_amounts(good.withColumnRenamed("key", "row_id"), "row_id", "description")
 
 
 def loaded_lines(lines: DataFrame) -> DataFrame:
@@ -117,10 +126,4 @@ def loaded_lines(lines: DataFrame) -> DataFrame:
     good = F.lit(True)
     for amount in ("unit_price", "total"):
         good = good & (is_missing(F.col(amount)) | is_number(F.col(amount)))
-    return lines.filter(good).select(
-        "line_id",
-        "description",
-        parse_decimal(F.col("quantity"), "decimal(20,6)").alias("quantity"),
-        parse_decimal(F.col("unit_price"), "decimal(20,4)").alias("unit_price"),
-        parse_decimal(F.col("total"), "decimal(20,4)").alias("total"),
-    )
+    return with_typed_amounts(lines.filter(good), "line_id", "description")

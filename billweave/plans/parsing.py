@@ -22,7 +22,7 @@ def p6_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = loaded_raw_rows(table(spark, sf_dir, "equivalent_invoice"))
     lines = loaded_lines(table(spark, sf_dir, "invoice_lines"))
     tagged = [
-        d.select(F.concat(F.lit(tag), F.col(key)).alias("source_key"), *LINE_FIELDS)
+        d.select(F.concat(F.lit(tag), F.col(key)).alias("source_key"), *LINE_FIELDS, "untyped")
         for tag, key, d in (("R", "row_id", raw), ("L", "line_id", lines))
     ]
     return tagged[0].unionByName(tagged[1])
