@@ -4,9 +4,10 @@
    trade; legal form, department and office are dropped. Every distinct contact is read into
    family name, first name and initials; titles and forms of address are dropped.
 2. Stems are banded by MinHash over padded q-grams. The number of bands comes from the
-   collision curve: the fewest with the wanted recall at the similarity one slip leaves.
+   collision curve: the fewest with the wanted recall at the similarity two slips leave.
 3. Candidates are verified by Monge-Elkan similarity of their tokens and an edit bound, then
-   clustered by star clustering around the most frequent spelling.
+   clustered by star clustering around the most frequent spelling. Two slips link two stems only
+   where neither has a nearer neighbour more frequent than both.
 4. People are linked the same way inside their organisation.
 
 Defined results: null, empty and placeholder names are in no pair, and neither are the
@@ -83,16 +84,16 @@ _ENDINGS = sorted(((w, t) for w, t in _TRADE_WORDS.items() if len(w) >= 3), key=
 _FIRST = {n: full for full, short in NICKNAMES.items() for n in (full, *short)}
 _LONG_FIRST = {n: f for n, f in _FIRST.items() if len(n) >= 5}
 
-#: One slip in a stem of eight letters leaves about this share of its padded q-grams.
-SLIP_SIMILARITY = 0.5
+#: Two slips in a stem of eight letters leave about this share of its padded q-grams, seldom less.
+SLIP_SIMILARITY = 0.3
 RECALL = 0.98
-ROWS = 3
+ROWS = 2
 
 
 def _plain(text: str) -> str:
     text = re.sub(r"(?:G|\b)mbH", lambda m: f" {m[0].lower()} ", text)
     text = unicodedata.normalize("NFKC", _CAMEL.sub(" ", text)).lower().replace("'", "").replace("’", "")
-    text = re.sub(r"[^\w&]+", " ", text.replace("_", " "))
+    text = re.sub(r"[^\w&]+", " ", text.replace("_", " ").replace("&", " & "))
     return re.sub(r"\s+", " ", text).strip()
 
 
@@ -188,7 +189,7 @@ def _read_people(values: pd.Series) -> pd.DataFrame:
 
 def _slips(length: int) -> int:
     """Most edits that two spellings of one name of this length differ by."""
-    return 1 if length < 12 else 2
+    return 1 if length < 7 else 2
 
 
 def _verify_organisations(left: pd.DataFrame, right: pd.DataFrame) -> pd.Series:
@@ -200,6 +201,26 @@ def _verify_organisations(left: pd.DataFrame, right: pd.DataFrame) -> pd.Series:
     return pd.Series(scores)
 
 
+def _slip_counts(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([edit_distance(x, y, 2) for x, y in zip(a, b)])
+
+
+def _unless_nearer(edges: DataFrame, forms: DataFrame) -> DataFrame:
+    """``edges`` without those of two slips where an end has a nearer neighbour more frequent than both."""
+    weights = forms.select("id", "weight")
+    for x in "ab":
+        edges = edges.join(weights.select(F.col("id").alias(f"id_{x}"), F.col("weight").alias(f"weight_{x}")), f"id_{x}")
+    edges = materialize(edges.withColumn("slips", F.pandas_udf(_slip_counts, "int")("stem_a", "stem_b")))
+    one = edges.filter(F.col("slips") < 2)
+    both = [one.select(F.col(f"id_{x}").alias("id"), F.col(f"weight_{y}").alias("nearer")) for x, y in ("ab", "ba")]
+    nearest_of = both[0].unionByName(both[1]).groupBy("id").agg(F.max("nearer").alias("nearer"))
+    for x in "ab":
+        edges = edges.join(nearest_of.select(F.col("id").alias(f"id_{x}"), F.col("nearer").alias(f"nearer_{x}")), f"id_{x}", "left")
+    # greatest skips nulls, so an end without a nearer neighbour does not count
+    over = F.greatest("nearer_a", "nearer_b") > F.greatest("weight_a", "weight_b")
+    return edges.filter((F.col("slips") < 2) | ~F.coalesce(over, F.lit(False)))
+
+
 def first_names_agree(a: str, b: str) -> bool:
     """Whether two first names, initials or missing ones can be one person's."""
     if not a or not b:
@@ -220,11 +241,13 @@ def _verify_people(left: pd.DataFrame, right: pd.DataFrame) -> pd.Series:
     return pd.Series(scores)
 
 
-def _clusters(forms: DataFrame, keys, fields: tuple[str, ...], near: str, verify) -> DataFrame:
+def _clusters(forms: DataFrame, keys, fields: tuple[str, ...], near: str, verify, keep=None) -> DataFrame:
     pairs = candidate_pairs(forms, keys, *fields)
-    pairs = pairs.filter(F.levenshtein(f"{near}_a", f"{near}_b", 3) >= 0).distinct()
+    # a swap of neighbours is one slip, but two edits here
+    pairs = pairs.filter(F.levenshtein(f"{near}_a", f"{near}_b", 4) >= 0).distinct()
     ends = [F.struct(*[F.col(f"{f}_{x}").alias(f) for f in fields]) for x in "ab"]
     edges = pairs.withColumn("score", F.pandas_udf(verify, "double")(*ends)).filter(F.col("score") > 0)
+    edges = keep(edges, forms) if keep else edges
     return star_clusters(forms.select("id", "weight"), edges.select("id_a", "id_b", "score"))
 
 
@@ -238,7 +261,7 @@ def same_organisations(rows: DataFrame, key: str = "party_id", name: str = "name
     forms = materialize(read.groupBy("id", "stem", "trade").agg(F.sum("n").alias("weight")))
     bands = tune_bands(SLIP_SIMILARITY, ROWS, RECALL)
     keys = band_keys(F.col("stem"), bands, ROWS, F.col("trade"))
-    centers = _clusters(forms, keys, ("stem", "trade"), "stem", _verify_organisations)
+    centers = _clusters(forms, keys, ("stem", "trade"), "stem", _verify_organisations, _unless_nearer)
     labels = read.select("value", "id").join(centers, "id").select("value", F.col("center").alias("organisation"))
     return rows.join(labels, "value").select(F.col("key").alias(key), "organisation")
 
