@@ -6,8 +6,9 @@
    cosine weighted by inverse document frequency.
 3. Candidates above the threshold whose name the value mentions (one slip allowed) are compared
    by their properties: none that both state may differ. The best by part number, pack count
-   (none stated means one), number of equal and of missing properties wins; where different
-   products tie, a margin in the cosine decides, else none is taken.
+   (none stated means one), number of equal and of missing properties wins. Where products tie, a
+   margin in the cosine decides; within it the first is taken only if all agree in name and
+   properties (part numbers aside), else none.
 
 Defined results: null, empty and unmatched values give ''; repeated values share one answer;
 with an empty catalogue every value gives ''; a null scope matches nothing.
@@ -115,6 +116,8 @@ def map_to_catalogue(
     asked = materialize(asked)
     held = read_catalogue(products).withColumn("scope", scope).filter(F.col("scope").isNotNull())
     held = held.select("product_id", "scope", "name", F.xxhash64("scope", "kind", "name").alias("fid"), *[F.col(f).alias(f"p_{f}") for f in (*PROPERTIES, "code")])
+    pack = F.coalesce(F.nullif("p_pack", F.lit("")), F.lit("1"))
+    held = held.withColumn("alike", F.xxhash64("name", *[f"p_{f}" for f in PROPERTIES if f != "pack"], pack))
     held = materialize(held)
     units = held.filter(F.col("name") != "").select("fid", "scope", F.col("p_kind").alias("kind"), "name").distinct()
     wordings = asked.filter(F.col("names") != "").select(F.col("nid").alias("qid"), "scope", "kind", "names").distinct()
@@ -136,17 +139,16 @@ def map_to_catalogue(
     same_pack = F.coalesce(F.nullif("pack", F.lit("")), one) == F.coalesce(F.nullif("p_pack", F.lit("")), one)
     pairs = pairs.filter(~conflict)
     ranked = pairs.select(
-        "qid", "product_id", "cosine", F.struct(same_code.alias("c"), same_pack.alias("p"), equal.alias("e"), (-missing).alias("m")).alias("r")
+        "qid", "product_id", "alike", "cosine", F.struct(same_code.alias("c"), same_pack.alias("p"), equal.alias("e"), (-missing).alias("m")).alias("r")
     )
-    ranked = ranked.groupBy("qid", "product_id").agg(F.max("cosine").alias("cosine"), F.max("r").alias("r"))
+    ranked = ranked.groupBy("qid", "product_id", "alike").agg(F.max("cosine").alias("cosine"), F.max("r").alias("r"))
     order = Window.partitionBy("qid").orderBy(F.desc("r"), F.desc("cosine"), "product_id")
     ranked = ranked.withColumns(
-        {"place": F.row_number().over(order), "next_r": F.lead("r").over(order), "next_cosine": F.lead("cosine").over(order)}
+        {"place": F.row_number().over(order), **{f"top_{c}": F.first(c).over(order) for c in ("r", "cosine", "alike")}}
     )
-    # products of one name that tie are alike in every stated property; other names need the margin
-    clear = F.col("next_r").isNull() | (F.col("r") != F.col("next_r")) | (F.col("cosine") == F.col("next_cosine"))
-    clear = clear | (F.col("cosine") - F.col("next_cosine") >= margin)
-    best = ranked.filter((F.col("place") == 1) & clear).select("qid", "product_id")
+    rival = (F.col("r") == F.col("top_r")) & (F.col("top_cosine") - F.col("cosine") < margin) & (F.col("alike") != F.col("top_alike"))
+    ranked = ranked.withColumn("rivals", F.sum(rival.cast("int")).over(Window.partitionBy("qid")))
+    best = ranked.filter((F.col("place") == 1) & (F.col("rivals") == 0)).select("qid", "product_id")
     rows = values.select("__key", F.xxhash64(*SCOPE, "__text").alias("qid"))
     return rows.join(best, "qid", "left").select(
         F.col("__key").alias(key), F.coalesce("product_id", F.lit("")).alias("product_id")
