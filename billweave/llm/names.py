@@ -5,7 +5,8 @@
    family name, first name and initials; titles and forms of address are dropped.
 2. Stems are banded by MinHash over padded q-grams. The number of bands comes from the
    collision curve: the fewest with the wanted recall at the similarity two slips leave.
-3. Candidates are verified by Monge-Elkan similarity of their tokens and an edit bound, then
+3. Candidates are accepted by a threshold on the Monge-Elkan similarity of their tokens (stem and
+   trade, as spellings of one name break its words differently), checked by an edit bound, then
    clustered by star clustering around the most frequent spelling. Two slips link two stems only
    where neither has a nearer neighbour more frequent than both.
 4. People are linked the same way inside their organisation.
@@ -88,6 +89,9 @@ _LONG_FIRST = {n: f for n, f in _FIRST.items() if len(n) >= 5}
 SLIP_SIMILARITY = 0.3
 RECALL = 0.98
 ROWS = 2
+#: Least Monge-Elkan similarity of two spellings: one slip in four letters or two in seven, the trade alike.
+ORGANISATION_THRESHOLD = 0.85
+PERSON_THRESHOLD = 0.6
 
 
 def _plain(text: str) -> str:
@@ -195,9 +199,10 @@ def _slips(length: int) -> int:
 def _verify_organisations(left: pd.DataFrame, right: pd.DataFrame) -> pd.Series:
     scores = []
     for a, b in zip(left.itertuples(index=False), right.itertuples(index=False)):
-        near = edit_distance(a.stem, b.stem, 2) <= _slips(min(len(a.stem), len(b.stem)))
-        same = a.trade == b.trade
-        scores.append(monge_elkan([a.stem, a.trade], [b.stem, b.trade]) if near and same else 0.0)
+        score = monge_elkan([a.stem, a.trade], [b.stem, b.trade])
+        good = score >= ORGANISATION_THRESHOLD and a.trade == b.trade
+        good = good and edit_distance(a.stem, b.stem, 2) <= _slips(min(len(a.stem), len(b.stem)))
+        scores.append(score if good else 0.0)
     return pd.Series(scores)
 
 
@@ -237,7 +242,7 @@ def _verify_people(left: pd.DataFrame, right: pd.DataFrame) -> pd.Series:
         near = edit_distance(a.family, b.family, 2) <= (1 if min(len(a.family), len(b.family)) < (6 if full else 8) else 2)
         good = near and first_names_agree(a.first, b.first)
         score = monge_elkan([a.family, a.first] if full else [a.family], [b.family, b.first] if full else [b.family])
-        scores.append(score if good and score >= 0.6 else 0.0)
+        scores.append(score if good and score >= PERSON_THRESHOLD else 0.0)
     return pd.Series(scores)
 
 

@@ -36,3 +36,7 @@ def test_two_slips_give_way_to_a_nearer_name(spark):
 
 def test_legal_form_without_blanks():
     assert read_organisation("Gutamehar Machinery GmbH&Co.KG") == ("gutamehar", "machinery")
+
+
+def test_short_names_that_differ_in_a_letter_stay_apart(spark):
+    assert linked(spark, ["ABC Energy GmbH", "ABD Energy GmbH", "A.B.C. Energy", "Rotu Toys AG", "Rotuu Toys AG"]) == {(0, 2), (3, 4)}
