@@ -89,6 +89,9 @@ _LONG_FIRST = {n: f for n, f in _FIRST.items() if len(n) >= 5}
 SLIP_SIMILARITY = 0.3
 RECALL = 0.98
 ROWS = 2
+#: Two slips in a family name of six letters leave about this share; inside an organisation one row is enough.
+PERSON_SIMILARITY = 0.25
+PERSON_BANDS = tune_bands(PERSON_SIMILARITY, 1, RECALL)
 #: Least Monge-Elkan similarity of two spellings: one slip in four letters or two in seven, the trade alike.
 ORGANISATION_THRESHOLD = 0.85
 PERSON_THRESHOLD = 0.6
@@ -283,7 +286,7 @@ def same_people(rows: DataFrame, organisations: DataFrame, key: str = "party_id"
     # a full first name outranks an initial, which outranks a bare family name
     full = F.when(F.char_length("first") > 1, 1 << 40).when(F.col("first") != "", 1 << 20).otherwise(0)
     forms = materialize(named.groupBy("id", *fields).agg((F.count(F.lit(1)) + full).alias("weight")))
-    keys = band_keys(F.col("family"), 8, 1, F.col("organisation"))
+    keys = band_keys(F.col("family"), PERSON_BANDS, 1, F.col("organisation"))
     centers = _clusters(forms, keys, fields, "family", _verify_people)
     return named.join(centers, "id").select(key, F.col("center").alias("person"))
 

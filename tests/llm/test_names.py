@@ -2,8 +2,8 @@ import itertools
 
 import pytest
 
-from billweave.llm.matching import edit_distance, min_hash_bands, tune_bands
-from billweave.llm.names import RECALL, ROWS, SLIP_SIMILARITY, party_pairs, read_organisation
+from billweave.llm.matching import banding_recall, edit_distance, gram_hashes, min_hash_bands, tune_bands
+from billweave.llm.names import PERSON_BANDS, PERSON_SIMILARITY, RECALL, ROWS, SLIP_SIMILARITY, party_pairs, read_organisation
 
 PARTY = "party_id bigint, name string, contact_name string"
 
@@ -40,3 +40,9 @@ def test_legal_form_without_blanks():
 
 def test_short_names_that_differ_in_a_letter_stay_apart(spark):
     assert linked(spark, ["ABC Energy GmbH", "ABD Energy GmbH", "A.B.C. Energy", "Rotu Toys AG", "Rotuu Toys AG"]) == {(0, 2), (3, 4)}
+
+
+def test_bands_of_people_follow_the_collision_curve():
+    a, b = (set(gram_hashes(x, 2).tolist()) for x in ("hibika", "hubike"))
+    assert PERSON_SIMILARITY <= len(a & b) / len(a | b)
+    assert banding_recall(PERSON_SIMILARITY, PERSON_BANDS, 1) >= RECALL > banding_recall(PERSON_SIMILARITY, 8, 1)
