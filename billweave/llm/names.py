@@ -1,15 +1,17 @@
 """Problem 5: organisations and people in many spellings.
 
 1. Every distinct name is read into the organisation's own name (the *stem*) and its branch of
-   trade; legal form, department and office are dropped. Every distinct contact is read into
-   family name, first name and initials; titles and forms of address are dropped.
+   trade; legal form, department and office are dropped. Branches beyond the given list are
+   learned: a last word that stands behind many different stems. Every distinct contact is read
+   into family name, first name and initials; titles and forms of address are dropped.
 2. Stems are banded by MinHash over padded q-grams. The number of bands comes from the
    collision curve: the fewest with the wanted recall at the similarity two slips leave.
 3. Candidates are accepted by a threshold on the Monge-Elkan similarity of their tokens (stem and
-   trade, as spellings of one name break its words differently), checked by an edit bound, then
-   clustered by star clustering around the most frequent spelling. Two slips link two stems only
-   where neither has a nearer neighbour more frequent than both.
-4. People are linked the same way inside their organisation.
+   trade, as spellings of one name break its words differently), then clustered by star clustering
+   around the most frequent spelling. Two slips or more link two stems only where neither has a
+   nearer neighbour more frequent than both.
+4. People are linked the same way inside their organisation, by the similarity of family and
+   first name; the family names must be alike and the first names must agree.
 
 Defined results: null, empty and placeholder names are in no pair, and neither are the
 contacts beside them; repeated rows share a form and are paired; an empty table gives no rows.
@@ -20,6 +22,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +30,11 @@ from pyspark.sql import functions as F
 from billweave.llm.matching import (
     band_keys,
     candidate_pairs,
+    digest,
     edit_distance,
+    edit_distances,
+    edit_similarities,
+    may_be_similar,
     monge_elkan,
     nearest,
     pairs_within,
@@ -92,9 +99,16 @@ ROWS = 2
 #: Two slips in a family name of six letters leave about this share; inside an organisation one row is enough.
 PERSON_SIMILARITY = 0.25
 PERSON_BANDS = tune_bands(PERSON_SIMILARITY, 1, RECALL)
-#: Least Monge-Elkan similarity of two spellings: one slip in four letters or two in seven, the trade alike.
-ORGANISATION_THRESHOLD = 0.85
-PERSON_THRESHOLD = 0.6
+#: Least Monge-Elkan similarity of two spellings: the trade alike and three quarters of the stem's letters.
+ORGANISATION_THRESHOLD = 0.875
+STEM_SIMILARITY = 2 * ORGANISATION_THRESHOLD - 1
+#: The same of people, and the least similarity of their family names alone.
+PERSON_THRESHOLD = 0.75
+FAMILY_SIMILARITY = 2 / 3
+#: Least similarity of two full first names of one person.
+FIRST_SIMILARITY = 0.8
+#: A last word behind this many different stems is a branch of trade.
+LEARNED_STEMS = 20
 
 
 def _plain(text: str) -> str:
@@ -104,8 +118,8 @@ def _plain(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 
 
-def read_organisation(name: str | None) -> tuple[str, str] | None:
-    """(stem, trade) of a name; None for a placeholder."""
+def read_organisation(name: str | None) -> tuple[str, str, list[str]] | None:
+    """(stem, trade, words where no trade is seen) of a name; None for a placeholder."""
     text = _plain(name or "")
     if text in PLACEHOLDERS:
         return None
@@ -118,7 +132,7 @@ def read_organisation(name: str | None) -> tuple[str, str] | None:
     for i in range(len(words) - 1 if len(words) > 2 else 0):
         pair = words[i] + words[i + 1]
         if pair == "re" or (len(pair) > 7 and edit_distance(pair, "realestate", 2) <= 2):
-            return "".join(words[:i] + words[i + 2 :]), "real estate"
+            return "".join(words[:i] + words[i + 2 :]), "real estate", []
     trade, at = "", -1
     order = [len(words) - 1, *range(len(words) - 1)] if len(words) > 1 else []
     for i in order:
@@ -136,19 +150,19 @@ def read_organisation(name: str | None) -> tuple[str, str] | None:
             if at >= 0:
                 break
     if at >= 0:
-        return "".join(words[:at] + words[at + 1 :]), trade
+        return "".join(words[:at] + words[at + 1 :]), trade, []
     joined = "".join(words)
     for word, kind in _ENDINGS:
         if joined.endswith(word) and len(joined) - len(word) >= 5:
-            return joined[: -len(word)], kind
+            return joined[: -len(word)], kind, []
         if joined.startswith(word) and len(word) >= 5 and len(joined) - len(word) >= 5:
-            return joined[len(word) :], kind
+            return joined[len(word) :], kind, []
     for word, kind in _ENDINGS:
         if len(word) >= 5:
             for n in (len(word), len(word) + 1, len(word) - 1):
                 if len(joined) - n >= 5 and edit_distance(joined[-n:], word, 1) <= 1:
-                    return joined[:-n], kind
-    return joined, ""
+                    return joined[:-n], kind, []
+    return joined, "", words
 
 
 def read_person(contact: str | None) -> tuple[str, str, str] | None:
@@ -187,30 +201,34 @@ def read_person(contact: str | None) -> tuple[str, str, str] | None:
 
 
 def _read_organisations(values: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_organisation(x) or (None, None) for x in values], columns=["stem", "trade"])
+    return pd.DataFrame([read_organisation(x) or (None, None, None) for x in values], columns=["stem", "trade", "words"])
 
 
 def _read_people(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_person(x) or (None,) * 3 for x in values], columns=["family", "first", "middle"])
 
 
-def _slips(length: int) -> int:
-    """Most edits that two spellings of one name of this length differ by."""
-    return 1 if length < 7 else 2
+def with_learned_trades(read: DataFrame) -> DataFrame:
+    """``read`` with the trade of names whose last word stands behind many different stems."""
+    several = (F.col("trade") == "") & (F.size("words") > 1)
+    last = F.when(several, F.element_at("words", -1))
+    head = F.when(several, F.array_join(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), ""))
+    read = read.withColumns({"last": last, "head": head})
+    counted = read.filter(F.col("last").isNotNull()).groupBy("last", "head").count().groupBy("last").agg(F.count(F.lit(1)).alias("stems"))
+    learned = counted.filter(F.col("stems") >= LEARNED_STEMS).select("last", F.lit(True).alias("is_trade"))
+    read = read.join(learned, "last", "left")
+    stem, trade = (F.when(F.col("is_trade"), F.col(c)).otherwise(F.col(o)) for c, o in (("head", "stem"), ("last", "trade")))
+    return read.withColumns({"stem": stem, "trade": trade}).drop("last", "head", "words", "is_trade")
 
 
 def _verify_organisations(left: pd.DataFrame, right: pd.DataFrame) -> pd.Series:
-    scores = []
-    for a, b in zip(left.itertuples(index=False), right.itertuples(index=False)):
-        score = monge_elkan([a.stem, a.trade], [b.stem, b.trade])
-        good = score >= ORGANISATION_THRESHOLD and a.trade == b.trade
-        good = good and edit_distance(a.stem, b.stem, 2) <= _slips(min(len(a.stem), len(b.stem)))
-        scores.append(score if good else 0.0)
-    return pd.Series(scores)
+    score = monge_elkan(left[["stem", "trade"]].values.tolist(), right[["stem", "trade"]].values.tolist())
+    good = (score >= ORGANISATION_THRESHOLD - 1e-9) & (left["trade"].to_numpy() == right["trade"].to_numpy())
+    return pd.Series(np.where(good, score, 0.0))
 
 
 def _slip_counts(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edit_distance(x, y, 2) for x, y in zip(a, b)])
+    return pd.Series(edit_distances(list(a), list(b)))
 
 
 def _unless_nearer(edges: DataFrame, forms: DataFrame) -> DataFrame:
@@ -218,7 +236,7 @@ def _unless_nearer(edges: DataFrame, forms: DataFrame) -> DataFrame:
     weights = forms.select("id", "weight")
     for x in "ab":
         edges = edges.join(weights.select(F.col("id").alias(f"id_{x}"), F.col("weight").alias(f"weight_{x}")), f"id_{x}")
-    edges = materialize(edges.withColumn("slips", F.pandas_udf(_slip_counts, "int")("stem_a", "stem_b")))
+    edges = materialize(edges.withColumn("slips", F.pandas_udf(_slip_counts, "bigint")("stem_a", "stem_b")))
     one = edges.filter(F.col("slips") < 2)
     both = [one.select(F.col(f"id_{x}").alias("id"), F.col(f"weight_{y}").alias("nearer")) for x, y in ("ab", "ba")]
     nearest_of = both[0].unionByName(both[1]).groupBy("id").agg(F.max("nearer").alias("nearer"))
@@ -229,30 +247,26 @@ def _unless_nearer(edges: DataFrame, forms: DataFrame) -> DataFrame:
     return edges.filter((F.col("slips") < 2) | ~F.coalesce(over, F.lit(False)))
 
 
-def first_names_agree(a: str, b: str) -> bool:
-    """Whether two first names, initials or missing ones can be one person's."""
-    if not a or not b:
-        return True
-    if len(a) == 1 or len(b) == 1:
-        return a[0] == b[0]
-    return edit_distance(a, b, 1) <= 1
+def first_names_agree(a: list[str], b: list[str]) -> np.ndarray:
+    """Whether two first names, initials or missing ones can be one person's, of each pair."""
+    like = edit_similarities(a, b) >= FIRST_SIMILARITY
+    short = [not x or not y or ((len(x) == 1 or len(y) == 1) and x[0] == y[0]) for x, y in zip(a, b)]
+    return like | np.array(short, dtype=bool)
 
 
 def _verify_people(left: pd.DataFrame, right: pd.DataFrame) -> pd.Series:
-    scores = []
-    for a, b in zip(left.itertuples(index=False), right.itertuples(index=False)):
-        full = len(a.first) > 1 and len(b.first) > 1
-        near = edit_distance(a.family, b.family, 2) <= (1 if min(len(a.family), len(b.family)) < (6 if full else 8) else 2)
-        good = near and first_names_agree(a.first, b.first)
-        score = monge_elkan([a.family, a.first] if full else [a.family], [b.family, b.first] if full else [b.family])
-        scores.append(score if good and score >= PERSON_THRESHOLD else 0.0)
-    return pd.Series(scores)
+    names = [side[["family", "first"]].values.tolist() for side in (left, right)]
+    full = [len(a[1]) > 1 and len(b[1]) > 1 for a, b in zip(*names)]
+    score = monge_elkan(*[[x if f else x[:1] for x, f in zip(side, full)] for side in names])
+    family = edit_similarities(*[[x[0] for x in side] for side in names])
+    good = first_names_agree(*[[x[1] for x in side] for side in names])
+    good &= (score >= PERSON_THRESHOLD - 1e-9) & (family >= FAMILY_SIMILARITY - 1e-9)
+    return pd.Series(np.where(good, score, 0.0))
 
 
-def _clusters(forms: DataFrame, keys, fields: tuple[str, ...], near: str, verify, keep=None) -> DataFrame:
+def _clusters(forms: DataFrame, keys, fields: tuple[str, ...], near: str, least: float, verify, keep=None) -> DataFrame:
     pairs = candidate_pairs(forms, keys, *fields)
-    # a swap of neighbours is one slip, but two edits here
-    pairs = pairs.filter(F.levenshtein(f"{near}_a", f"{near}_b", 4) >= 0).distinct()
+    pairs = pairs.filter(may_be_similar(F.col(f"{near}_a"), F.col(f"{near}_b"), least)).distinct()
     ends = [F.struct(*[F.col(f"{f}_{x}").alias(f) for f in fields]) for x in "ab"]
     edges = pairs.withColumn("score", F.pandas_udf(verify, "double")(*ends)).filter(F.col("score") > 0)
     edges = keep(edges, forms) if keep else edges
@@ -263,13 +277,13 @@ def same_organisations(rows: DataFrame, key: str = "party_id", name: str = "name
     """(key, organisation) of every row whose name names one."""
     rows = rows.select(F.col(key).alias("key"), F.col(name).alias("value")).filter(F.col("value").isNotNull())
     distinct = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    read = distinct.withColumn("p", F.pandas_udf(_read_organisations, "stem string, trade string")("value"))
-    read = read.select("value", "n", "p.*").filter(F.col("stem").isNotNull())
-    read = materialize(read.withColumn("id", F.xxhash64("stem", "trade")))
+    read = distinct.withColumn("p", F.pandas_udf(_read_organisations, "stem string, trade string, words array<string>")("value"))
+    read = with_learned_trades(materialize(read.select("value", "n", "p.*").filter(F.col("stem").isNotNull())))
+    read = materialize(read.withColumn("id", digest("stem", "trade")))
     forms = materialize(read.groupBy("id", "stem", "trade").agg(F.sum("n").alias("weight")))
     bands = tune_bands(SLIP_SIMILARITY, ROWS, RECALL)
     keys = band_keys(F.col("stem"), bands, ROWS, F.col("trade"))
-    centers = _clusters(forms, keys, ("stem", "trade"), "stem", _verify_organisations, _unless_nearer)
+    centers = _clusters(forms, keys, ("stem", "trade"), "stem", STEM_SIMILARITY, _verify_organisations, _unless_nearer)
     labels = read.select("value", "id").join(centers, "id").select("value", F.col("center").alias("organisation"))
     return rows.join(labels, "value").select(F.col("key").alias(key), "organisation")
 
@@ -282,12 +296,12 @@ def same_people(rows: DataFrame, organisations: DataFrame, key: str = "party_id"
     read = read.select("value", "p.*").filter(F.col("family").isNotNull())
     named = contacts.join(read, "value").join(organisations, key)
     fields = ("organisation", "family", "first")
-    named = materialize(named.select(key, *fields).withColumn("id", F.xxhash64(*fields)))
+    named = materialize(named.select(key, *fields).withColumn("id", digest(F.hex("organisation"), "family", "first")))
     # a full first name outranks an initial, which outranks a bare family name
     full = F.when(F.char_length("first") > 1, 1 << 40).when(F.col("first") != "", 1 << 20).otherwise(0)
     forms = materialize(named.groupBy("id", *fields).agg((F.count(F.lit(1)) + full).alias("weight")))
     keys = band_keys(F.col("family"), PERSON_BANDS, 1, F.col("organisation"))
-    centers = _clusters(forms, keys, fields, "family", _verify_people)
+    centers = _clusters(forms, keys, fields, "family", FAMILY_SIMILARITY, _verify_people)
     return named.join(centers, "id").select(key, F.col("center").alias("person"))
 
 

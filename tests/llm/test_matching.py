@@ -4,11 +4,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from billweave.llm.addresses import alignment_cost, building_pairs, read_address
+from billweave.llm.addresses import building_pairs, read_address
 from billweave.llm.catalogue import map_to_catalogue
 from billweave.llm.items import assign_items, heaviest_matching, item_pairs
 from billweave.llm.listings import Listing, read_listing, read_product
-from billweave.llm.matching import banding_recall, edit_distance, min_hash_bands, monge_elkan, nearest, star_clusters, tune_bands
+from billweave.llm.matching import banding_recall, edit_distance, edit_distances, min_hash_bands, monge_elkan, nearest, star_clusters, tune_bands
 from billweave.llm.names import first_names_agree, party_pairs, read_organisation, read_person
 
 
@@ -29,8 +29,10 @@ def test_edit_distance_against_brute_force():
     for _ in range(500):
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(7))) for _ in range(2))
         assert edit_distance(a, b, 2) == min(slow(a, b), 3)
+    texts = [["".join(rng.choice("abc") for _ in range(rng.choice((0, 3, 9, 64, 66)))) for _ in range(40)] for _ in range(2)]
+    assert edit_distances(*texts).tolist() == [slow(a, b) for a, b in zip(*texts)]
     assert nearest("sokc", {"sock": "s", "tee": "t"}, 1) == "s" and nearest("bat", {"cat": "c", "hat": "h"}, 1) is None
-    assert monge_elkan(["a", "bb"], ["bb", "a"]) == 1 and monge_elkan([], ["a"]) == 0
+    assert monge_elkan([["a", "bb"], []], [["bb", "a"], ["a"]]).tolist() == [1, 0]
 
 
 def test_bands_follow_the_collision_curve():
@@ -55,13 +57,13 @@ def test_star_clusters(spark):
 @pytest.mark.parametrize(
     "lines, want",
     [
-        (["Nofigohof-Ring 74 - Hinterhaus - 17095 Wamimeau"], ("nofigohof", "ring", "74", "17095", "wamimeau")),
-        (["No. 117 Stibreramere Boulevard, 52091, NI"], ("stibreramere", "boulevard", "117", "52091", "")),
-        (["13398 Brarosoheim", "Modanothalg. 53"], ("modanothal", "gasse", "53", "13398", "brarosoheim")),
-        (["Timipofordpl. 129 A", "13102 Fekanekirch", "Testern"], ("timipoford", "platz", "129a", "13102", "fekanekirch")),
-        (["6, Barahowick Ave", "Gate B", "28146", "NI"], ("barahowick", "avenue", "6", "28146", "")),
-        (["Lotolefordstr 44", "KS-91030 Nigitaheim"], ("lotoleford", "strasse", "44", "91030", "nigitaheim")),
-        (["2nd floor", "49 Stosefeld Sqaure", "Tawasloham"], ("stosefeld", "square", "49", "", "tawasloham")),
+        (["Nofigohof-Ring 74 - Hinterhaus - 17095 Wamimeau"], ("nofigohof", "ring", "74", "17095", ["wamimeau"])),
+        (["No. 117 Stibreramere Boulevard, 52091, NI"], ("stibreramere", "boulevard", "117", "52091", ["ni"])),
+        (["13398 Brarosoheim", "Modanothalg. 53"], ("modanothal", "g", "53", "13398", ["brarosoheim"])),
+        (["Timipofordpl. 129 A", "13102 Fekanekirch", "Testern"], ("timipoford", "pl", "129a", "13102", ["fekanekirch", "testern"])),
+        (["6, Barahowick Ave", "Gate B", "28146", "NI"], ("barahowick", "ave", "6", "28146", ["ni"])),
+        (["Lotolefordstr 44", "KS-91030 Nigitaheim"], ("lotoleford", "str", "44", "91030", ["nigitaheim"])),
+        (["2nd floor", "49 Stosefeld Sqaure", "Tawasloham"], ("stosefeld", "sqaure", "49", "", ["tawasloham"])),
         (["pick-up"], None), ([], None), (["same as billing"], None), (["", None], None),
     ],
 )
@@ -69,13 +71,6 @@ def test_read_address(lines, want):
     assert read_address(lines) == want
 
 
-def test_alignment():
-    a = ["nofigohof", "str", "74", "town"]
-    assert alignment_cost(a, ["nofigohof", "straße", "74", "town"]) == 0
-    assert alignment_cost(a, a[:2]) == pytest.approx(0.9)  # one opened, one extended gap
-    assert alignment_cost(a, ["nofigohof", "str", "75", "town"]) > 1
-
-
 def test_building_pairs(spark):
     rows = [
         (1, '["Ralofordstraße 7", "17005 Wamimeau"]'), (2, '["RALOFORDSTR. 7, WAMIMEAU"]'), (3, '["Ralofordstrasse Nr. 7", "2nd floor", "17005"]'),
@@ -99,7 +94,8 @@ def test_building_pairs(spark):
     ],
 )
 def test_read_organisation(name, want):
-    assert read_organisation(name) == want
+    got = read_organisation(name)
+    assert (got and got[:2]) == want
 
 
 @pytest.mark.parametrize(
@@ -123,7 +119,7 @@ def test_party_pairs(spark):
     got = {tuple(r) for r in party_pairs(df).collect()}
     assert {(a, b) for f, a, b in got if f == "name"} == set(itertools.combinations([1, 2, 3, 7, 8], 2))
     assert {(a, b) for f, a, b in got if f == "contact_name"} == {(1, 2), (1, 3), (2, 3)}
-    assert party_pairs(df.limit(0)).count() == 0 and first_names_agree("t", "theodor") and not first_names_agree("alexander", "theodor")
+    assert party_pairs(df.limit(0)).count() == 0 and first_names_agree(["t", "alexander", ""], ["theodor", "theodor", "x"]).tolist() == [True, False, True]
 
 
 def test_read_listing():

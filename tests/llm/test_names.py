@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 
@@ -35,7 +36,7 @@ def test_two_slips_give_way_to_a_nearer_name(spark):
 
 
 def test_legal_form_without_blanks():
-    assert read_organisation("Gutamehar Machinery GmbH&Co.KG") == ("gutamehar", "machinery")
+    assert read_organisation("Gutamehar Machinery GmbH&Co.KG")[:2] == ("gutamehar", "machinery")
 
 
 def test_short_names_that_differ_in_a_letter_stay_apart(spark):
@@ -46,3 +47,31 @@ def test_bands_of_people_follow_the_collision_curve():
     a, b = (set(gram_hashes(x, 2).tolist()) for x in ("hibika", "hubike"))
     assert PERSON_SIMILARITY <= len(a & b) / len(a | b)
     assert banding_recall(PERSON_SIMILARITY, PERSON_BANDS, 1) >= RECALL > banding_recall(PERSON_SIMILARITY, 8, 1)
+
+
+def test_branches_of_trade_are_learned(spark):
+    rng = random.Random(5)
+    stems = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(4)).title() for _ in range(30)]
+    names = [f"{x} Solar Ltd" for x in stems] + [f"{stems[0]} Solar", f"{stems[1]} Nuclear Inc", f"{stems[2]}", f"{stems[3]} SOLAR LLC"]
+    assert linked(spark, names) == {(0, 30), (3, 33)}
+
+
+def slip(rng, word):
+    i = rng.randrange(1, len(word) - 1)
+    return rng.choice([word[:i] + word[i + 1 :], word[:i] + word[i] + word[i:], word[: i - 1] + word[i] + word[i - 1] + word[i + 1 :]])
+
+
+def test_recall_and_precision_on_labelled_variants(spark):
+    rng = random.Random(6)
+    make = lambda n: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(n))
+    names, label = [], []
+    for i in range(200):
+        stem, trade = make(4), rng.choice(["Energy", "Toys", "Foods", "Optics"])
+        for _ in range(4):
+            spelt = slip(rng, stem) if rng.random() < 0.3 else stem
+            words = [spelt.title(), slip(rng, trade) if rng.random() < 0.15 else trade]
+            names.append(" ".join(words if rng.random() < 0.8 else words[::-1]) + rng.choice(["", " GmbH", " Ltd", " AG - Einkauf"]))
+            label.append(i)
+    truth = {(a, b) for a, b in itertools.combinations(range(len(names)), 2) if label[a] == label[b]}
+    got = linked(spark, names)
+    assert len(got & truth) >= 0.97 * len(truth) and len(got & truth) >= 0.99 * len(got)
