@@ -1,14 +1,15 @@
 """Problem 2: freely typed values and the catalogue product each of them names.
 
-1. Distinct values are read once (:mod:`listings`): properties apart, names apart.
-2. An inverted index over character 4-grams of the catalogue's names, and over part numbers,
-   is kept per scope. Each distinct value finds its candidates there and scores them by the
-   cosine weighted by inverse document frequency.
-3. Candidates above the threshold whose name the value mentions (one slip allowed) are compared
-   by their properties: none that both state may differ. The best by part number, pack count
-   (none stated means one), number of equal and of missing properties wins. Where products tie, a
-   margin in the cosine decides; within it the first is taken only if all agree in name and
-   properties (part numbers aside), else none.
+1. Distinct values are read once (:mod:`listings`): properties apart, words apart. Which words of
+   the catalogue name a product is learned from it (:func:`naming_words`).
+2. An inverted index over character 4-grams of the naming words, and over part numbers, is kept
+   per scope and kind. Each distinct value finds its candidates there.
+3. A candidate is scored by a weighted cosine over the grams (inverse document frequency) and the
+   properties (the entropy of the field in the catalogue); no pack count stated means one. The
+   best is taken where its score reaches the threshold and leads by the margin over every product
+   that is not described alike; else none is.
+4. Exact checks: no property that both state may differ, and the value must mention a naming word
+   of the product (one slip in five letters allowed) or its part number.
 
 Defined results: null, empty and unmatched values give ''; repeated values share one answer;
 with an empty catalogue every value gives ''; a null scope matches nothing.
@@ -16,18 +17,26 @@ with an empty catalogue every value gives ''; a null scope matches nothing.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from billweave.llm.listings import KINDS, Listing, catalogue_name, mentions, read_listing, read_product
+from billweave.llm.listings import Listing, read_listing, read_product
+from billweave.llm.matching import digest, edit_similarities
 from billweave.runtime import materialize
 
-THRESHOLD = 0.2
-MARGIN = 0.02
+THRESHOLD = 0.3
+MARGIN = 0.01
 GRAM = 4
+#: Weight of a property against a gram of the same rarity.
+PROPERTY_WEIGHT = 2.0
+#: Least edit similarity of a naming word and the word of a text that mentions it.
+MENTION = 0.8
+#: Share of its wordings in which a naming word has the least spread.
+NAMING_SHARE = 1 / 3
 SCOPE = ("tenant_id", "partner_id")
-PROPERTIES = ("kind", "colour", "measure", "size", "pack")
+PROPERTIES = ("kind", "colour", "measure", "size", "pack", "code")
 _FIELDS = Listing._fields
 _SCHEMA = ", ".join(f"{f} string" for f in _FIELDS)
 
@@ -37,15 +46,26 @@ def _read_values(values: pd.Series) -> pd.DataFrame:
 
 
 def _read_products(descriptions: pd.Series, attributes: pd.Series) -> pd.DataFrame:
-    rows = []
-    for d, a in zip(descriptions, attributes):
-        said = read_product(d, a)
-        rows.append((*said, *catalogue_name(said.names)))
-    return pd.DataFrame(rows, columns=[*_FIELDS, "name", "brand"])
-
-
-def _mentions(names: pd.Series, name: pd.Series) -> pd.Series:
-    return pd.Series([mentions(a, b) for a, b in zip(names, name)])
+    return pd.DataFrame([read_product(d, a) for d, a in zip(descriptions, attributes)], columns=_FIELDS)
+
+
+def _mentions(texts: pd.Series, names: pd.Series) -> pd.Series:
+    """Whether a text has a word like one of the naming words; words with digits must be equal."""
+    out = np.zeros(len(texts), dtype=bool)
+    left, right, at = [], [], []
+    for i, (text, name) in enumerate(zip(texts, names)):
+        words = text.split(" ")
+        for b in name.split(" "):
+            if b in words:
+                out[i] = True
+            elif not any(c.isdigit() for c in b):
+                near = [a for a in words if abs(len(a) - len(b)) <= (1 - MENTION) * max(len(a), len(b))]
+                left += near
+                right += [b] * len(near)
+                at += [i] * len(near)
+    if at:
+        np.logical_or.at(out, at, edit_similarities(left, right) >= MENTION - 1e-9)
+    return pd.Series(out)
 
 
 def read_values(values: DataFrame, text: str) -> DataFrame:
@@ -55,13 +75,37 @@ def read_values(values: DataFrame, text: str) -> DataFrame:
 
 
 def read_catalogue(products: DataFrame) -> DataFrame:
-    """Catalogue rows with the listing's fields, their name and their brand."""
-    parse = F.pandas_udf(_read_products, f"{_SCHEMA}, name string, brand string")
+    """Catalogue rows with the listing's fields."""
+    parse = F.pandas_udf(_read_products, _SCHEMA)
     columns = ["product_id", *SCOPE]
     read = products.withColumn("__said", parse("canonical_description", "attributes_json"))
     return read.select(*columns, "__said.*")
 
 
+def with_words(listings: DataFrame, *keep: str) -> DataFrame:
+    """A row (keep, word) for each distinct word of ``names``."""
+    words = F.filter(F.array_distinct(F.split("names", " ")), lambda w: w != "")
+    return listings.select(*keep, F.explode(words).alias("word"))
+
+
+def naming_words(words: DataFrame, key: str, *scope: str) -> DataFrame:
+    """The rows of ``words`` (key, scope, word, ...) whose word names an item, with its frequency ``df``.
+
+    A word's spread is the number of different sets of words it stands in: a name stands alone or
+    beside its brand, a brand, a material or an advertising word beside many names. A word names
+    where it has the least spread of at least ``NAMING_SHARE`` of its wordings.
+    """
+    whole = words.groupBy(key).agg(F.md5(F.to_json(F.array_sort(F.collect_set("word")))).alias("set"))  # one text's words
+    counted = words.join(whole, key)
+    spread = counted.groupBy(*scope, "word").agg(F.count_distinct("set").alias("spread"), F.count(F.lit(1)).alias("df"))
+    counted = counted.drop("set").join(spread, [*scope, "word"])
+    least = counted.groupBy(key).agg(F.min("spread").alias("least"))
+    counted = counted.join(least, key)
+    share = counted.groupBy(*scope, "word").agg(F.avg((F.col("spread") == F.col("least")).cast("int")).alias("share"))
+    naming = share.filter(F.col("share") >= NAMING_SHARE).select(*scope, "word")
+    return counted.drop("least", "spread").join(naming, [*scope, "word"], "left_semi")
+
+
 def name_grams(words: Column) -> Column:
     """Distinct character grams of each word, padded by two marks."""
 
@@ -69,87 +113,125 @@ def name_grams(words: Column) -> Column:
         padded = F.concat(F.lit("__"), word, F.lit("__"))
         return F.transform(F.sequence(F.lit(1), F.char_length(word) + 5 - GRAM), lambda i: F.substring(padded, i, F.lit(GRAM)))
 
-    kept = F.filter(F.split(words, " "), lambda w: F.char_length(w) >= 3)
-    return F.array_distinct(F.flatten(F.transform(kept, of_word)))
+    return F.array_distinct(F.flatten(F.transform(F.filter(F.split(words, " "), lambda w: w != ""), of_word)))
+
+
+def field_weights(held: DataFrame) -> dict[str, float]:
+    """Squared weight of each property: the entropy of its stated values in the catalogue, 1 at least."""
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in PROPERTIES])
+    counted = held.select(F.inline(cells)).filter(F.col("value") != "").groupBy("field", "value").count()
+    n = F.sum("count")
+    entropy = F.log(n) - F.sum(F.col("count") * F.log("count")) / n
+    found = {r["field"]: r["h"] for r in counted.groupBy("field").agg(entropy.alias("h")).collect()}  # a row a property
+    return {f: (PROPERTY_WEIGHT * max(found.get(f, 0.0), 1.0)) ** 2 for f in PROPERTIES}
+
 
+def gram_weights(units: DataFrame) -> DataFrame:
+    """(gram, w) of the grams of ``units`` (fid, name): squared inverse frequency."""
+    n = float(units.count())
+    df = units.select(F.explode(name_grams(F.col("name"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    return materialize(df.select("gram", F.pow(F.log1p(F.lit(n) / F.col("df")), F.lit(2.0)).alias("w")))
 
-def name_candidates(queries: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
-    """(qid, fid, cosine) of the catalogue names each query is near to, and mentions.
 
-    ``queries`` has (qid, scope, kind, names), ``units`` (fid, scope, kind, name), both distinct.
-    The index carries numbers only; its weights cover the whole catalogue. A posting lies under
-    its kind and under '', a query looks under its own kind or, knowing none, under ''; a unit of
-    unknown kind lies under every kind.
+def name_norms(rows: DataFrame, key: str, names: str, weights: DataFrame, out: str) -> DataFrame:
+    """(key, out): the squared norm of the grams of ``names``; grams that no name holds weigh nothing."""
+    grams = rows.select(key, F.explode(name_grams(F.col(names))).alias("gram")).join(weights, "gram")
+    return grams.groupBy(key).agg(F.sum("w").alias(out))
+
+
+def name_candidates(asked: DataFrame, units: DataFrame, weights: DataFrame) -> DataFrame:
+    """(nid, fid, dot): the weight of the grams that a wording and a name it mentions share.
+
+    ``asked`` has (nid, scope, kind, names), ``units`` (fid, scope, kind, name), both distinct.
+    The index carries numbers only. A posting lies under its kind ('?' if unknown) and under '*';
+    a wording of a known kind looks under that and '?', one of an unknown kind under '*'.
     """
-    grams = units.select("fid", "scope", "kind", F.explode(name_grams(F.col("name"))).alias("gram"))
-    df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    df = materialize(df.select("gram", F.log1p(F.lit(units.count()) / F.col("df")).cast("float").alias("w")))
-    weighed = grams.join(df, "gram")
-    norms = weighed.groupBy("fid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    under = F.when(F.col("kind") == "", F.array(*map(F.lit, ("", *KINDS)))).otherwise(F.array("kind", F.lit("")))
-    posts = weighed.join(norms, "fid").select("fid", "scope", "gram", (F.col("w") / F.col("norm")).alias("wd"), F.explode(under).alias("kind"))
-    posts = posts.select("fid", F.xxhash64("scope", "kind", "gram").alias("g"), "wd")
-    asked = queries.select("qid", "scope", "kind", F.explode(name_grams(F.col("names"))).alias("gram")).join(df, "gram")
-    q_norms = asked.groupBy("qid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = asked.join(q_norms, "qid").select("qid", F.xxhash64("scope", "kind", "gram").alias("g"), (F.col("w") / F.col("norm")).alias("wq"))
-    near = asked.join(posts, "g").groupBy("qid", "fid").agg(F.sum(F.col("wq") * F.col("wd")).alias("cosine"))
-    near = near.filter(F.col("cosine") >= threshold)
-    near = near.join(queries.select("qid", "names"), "qid").join(units.select("fid", "name"), "fid")
-    return near.filter(F.pandas_udf(_mentions, "boolean")("names", "name")).select("qid", "fid", "cosine")
-
-
-def _stated(a: Column, b: Column) -> Column:
-    return (a != "") & (b != "")
+    held = units.select("fid", "scope", "kind", F.explode(name_grams(F.col("name"))).alias("gram")).join(weights, "gram")
+    kind = F.when(F.col("kind") == "", "?").otherwise(F.col("kind"))
+    posts = held.select("fid", "scope", "gram", "w", F.explode(F.array(kind, F.lit("*"))).alias("under"))
+    posts = posts.select("fid", F.xxhash64("scope", "under", "gram").alias("g"), "w")
+    looks = F.when(F.col("kind") == "", F.array(F.lit("*"))).otherwise(F.array("kind", F.lit("?")))
+    looked = asked.select("nid", "scope", F.explode(name_grams(F.col("names"))).alias("gram"), looks.alias("looks"))
+    looked = looked.select("nid", "scope", "gram", F.explode("looks").alias("under"))
+    looked = looked.select("nid", F.xxhash64("scope", "under", "gram").alias("g"))
+    near = looked.join(posts, "g").groupBy("nid", "fid").agg(F.sum("w").alias("dot"))
+    near = near.join(asked.select("nid", "names"), "nid").join(units.select("fid", "name"), "fid")
+    return near.filter(F.pandas_udf(_mentions, "boolean")("names", "name")).select("nid", "fid", "dot")
+
+
+def _either(name: str, prefix: str = "") -> Column:
+    """A property as it counts: no pack count stated means one."""
+    value = F.col(prefix + name)
+    return F.coalesce(F.nullif(value, F.lit("")), F.lit("1")) if name == "pack" else value
+
+
+def _score(weight: dict[str, float]) -> Column:
+    """Weighted cosine of a value and a product over grams and properties.
+
+    A part number counts only where both state one: most texts leave it out.
+    """
+    dot, q, p = F.col("dot"), F.coalesce("q_norm", F.lit(0.0)), F.coalesce("u_norm", F.lit(0.0))
+    for f, w in weight.items():
+        a, b = _either(f), _either(f, "p_")
+        in_q, in_p = (a != "", b != "") if f != "code" else (((a != "") & (b != "")),) * 2
+        dot = dot + F.when(in_q & (a == b), w).otherwise(0.0)
+        q, p = q + F.when(in_q, w).otherwise(0.0), p + F.when(in_p, w).otherwise(0.0)
+    return F.round(dot / F.sqrt(F.nullif(q * p, F.lit(0.0))), 9)
 
 
 def map_to_catalogue(
     values: DataFrame, products: DataFrame, key: str, text: str, threshold: float = THRESHOLD, margin: float = MARGIN
 ) -> DataFrame:
     """(key, product_id) of every row of ``values``, '' where its scope holds no such product."""
-    scope = F.when(F.col("tenant_id").isNotNull() & F.col("partner_id").isNotNull(), F.xxhash64(*SCOPE))
+    scope = F.when(F.col("tenant_id").isNotNull() & F.col("partner_id").isNotNull(), digest(*SCOPE))
     values = values.select(F.col(key).alias("__key"), *SCOPE, F.col(text).alias("__text"))
     distinct = values.select(*SCOPE, "__text").filter(F.col("__text").isNotNull() & scope.isNotNull()).distinct()
-    asked = read_values(distinct, "__text").select(
-        F.xxhash64(*SCOPE, "__text").alias("qid"), scope.alias("scope"), F.xxhash64(scope, "kind", "names").alias("nid"), "names",
-        *PROPERTIES, "code",
-    )
-    asked = materialize(asked)
-    held = read_catalogue(products).withColumn("scope", scope).filter(F.col("scope").isNotNull())
-    held = held.select("product_id", "scope", "name", F.xxhash64("scope", "kind", "name").alias("fid"), *[F.col(f).alias(f"p_{f}") for f in (*PROPERTIES, "code")])
-    pack = F.coalesce(F.nullif("p_pack", F.lit("")), F.lit("1"))
-    held = held.withColumn("alike", F.xxhash64("name", *[f"p_{f}" for f in PROPERTIES if f != "pack"], pack))
+    said = read_values(distinct, "__text").select(digest(*SCOPE, "__text").alias("qid"), "tenant_id", scope.alias("scope"), "names", *PROPERTIES)
+    said = materialize(said)
+    held = read_catalogue(products).withColumn("scope", scope).filter(F.col("scope").isNotNull()).drop("partner_id")
     held = materialize(held)
-    units = held.filter(F.col("name") != "").select("fid", "scope", F.col("p_kind").alias("kind"), "name").distinct()
-    wordings = asked.filter(F.col("names") != "").select(F.col("nid").alias("qid"), "scope", "kind", "names").distinct()
-    named = name_candidates(wordings, units, threshold).withColumnRenamed("qid", "nid")
-    by_name = asked.drop("scope", "names").join(named, "nid").join(held.drop("scope", "name"), "fid").drop("nid", "fid")
-    coded = asked.filter(F.col("code") != "").drop("nid", "names")
-    by_code = coded.join(held.drop("fid", "name").withColumn("code", F.col("p_code")), ["scope", "code"]).drop("scope")
-    pairs = by_name.unionByName(by_code.withColumn("cosine", F.lit(1.0)).select(by_name.columns))
-    conflict = F.lit(False)
-    equal, missing = F.lit(0), F.lit(0)
-    for f in (*PROPERTIES, "code"):
+    weight = field_weights(held)
+
+    # the catalogue's words that name a product, and those of a text that may
+    words = with_words(held, "product_id", "tenant_id")
+    naming = materialize(naming_words(words, "product_id", "tenant_id"))
+    generic = words.select("tenant_id", "word").distinct().join(naming.select("tenant_id", "word").distinct(), ["tenant_id", "word"], "left_anti")
+    joined = F.array_join(F.array_sort(F.collect_set("word")), " ")  # the words of one text
+    # of several naming words the most frequent is the name, the others stand beside it here and there
+    ranked = naming.groupBy("product_id").agg(F.array_sort(F.collect_set(F.struct("df", "word"))).alias("w"))
+    most = F.filter("w", lambda x: x["df"] == F.element_at("w", -1)["df"])
+    of_product = ranked.select("product_id", F.array_join(F.transform(most, lambda x: x["word"]), " ").alias("name"))
+    of_text = with_words(said, "qid", "tenant_id").join(generic, ["tenant_id", "word"], "left_anti").groupBy("qid").agg(joined.alias("named"))
+    held = held.drop("names").join(of_product, "product_id", "left").withColumn("name", F.coalesce("name", F.lit("")))
+    said = said.drop("names").join(of_text, "qid", "left").withColumn("names", F.coalesce("named", F.lit(""))).drop("named")
+    same = [_either(f) for f in PROPERTIES if f != "code"]
+    held = held.withColumns({"fid": digest("scope", "kind", "name"), "alike": digest("name", *same)})
+    held = materialize(held.select("product_id", "scope", "fid", "alike", "name", *PROPERTIES))
+    said = materialize(said.withColumn("nid", digest("scope", "kind", "names")))
+
+    units = held.filter(F.col("name") != "").select("fid", "scope", "kind", "name").distinct()
+    asked = said.filter(F.col("names") != "").select("nid", "scope", "kind", "names").distinct()
+    grams = gram_weights(units)
+    near = name_candidates(asked, units, grams)
+    said = said.join(name_norms(asked, "nid", "names", grams, "q_norm"), "nid", "left").drop("names", "tenant_id")
+    held = held.join(name_norms(units, "fid", "name", grams, "u_norm"), "fid", "left").drop("name")
+    held = held.select("product_id", "scope", "fid", "alike", "u_norm", *[F.col(f).alias(f"p_{f}") for f in PROPERTIES])
+    by_name = said.drop("scope").join(near, "nid").join(held.drop("scope"), "fid")
+    by_code = said.filter(F.col("code") != "").join(held.withColumn("code", F.col("p_code")), ["scope", "code"])
+    pairs = by_name.unionByName(by_code.withColumn("dot", F.lit(0.0)).select(by_name.columns))
+    for f in PROPERTIES:
         a, b = F.col(f), F.col(f"p_{f}")
-        conflict = conflict | (_stated(a, b) & (a != b))
-        if f not in ("kind", "code"):
-            equal = equal + (_stated(a, b) & (a == b)).cast("int")
-            missing = missing + ((a == "") & (b != "")).cast("int")
-    same_code = _stated(F.col("code"), F.col("p_code")) & (F.col("code") == F.col("p_code"))
-    one = F.lit("1")
-    same_pack = F.coalesce(F.nullif("pack", F.lit("")), one) == F.coalesce(F.nullif("p_pack", F.lit("")), one)
-    pairs = pairs.filter(~conflict)
-    ranked = pairs.select(
-        "qid", "product_id", "alike", "cosine", F.struct(same_code.alias("c"), same_pack.alias("p"), equal.alias("e"), (-missing).alias("m")).alias("r")
-    )
-    ranked = ranked.groupBy("qid", "product_id", "alike").agg(F.max("cosine").alias("cosine"), F.max("r").alias("r"))
-    order = Window.partitionBy("qid").orderBy(F.desc("r"), F.desc("cosine"), "product_id")
-    ranked = ranked.withColumns(
-        {"place": F.row_number().over(order), **{f"top_{c}": F.first(c).over(order) for c in ("r", "cosine", "alike")}}
-    )
-    rival = (F.col("r") == F.col("top_r")) & (F.col("top_cosine") - F.col("cosine") < margin) & (F.col("alike") != F.col("top_alike"))
-    ranked = ranked.withColumn("rivals", F.sum(rival.cast("int")).over(Window.partitionBy("qid")))
-    best = ranked.filter((F.col("place") == 1) & (F.col("rivals") == 0)).select("qid", "product_id")
-    rows = values.select("__key", F.xxhash64(*SCOPE, "__text").alias("qid"))
+        pairs = pairs.filter((a == "") | (b == "") | (a == b))
+    scored = pairs.select("qid", "product_id", "alike", _score(weight).alias("score")).filter(F.col("score") >= threshold)
+
+    # the two best descriptions of each value; products described alike are one
+    best_of = scored.groupBy("qid", "alike").agg(F.min(F.struct((-F.col("score")).alias("lost"), "product_id")).alias("b"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("b.lost", "b.product_id"))
+    two = best_of.withColumn("place", place).filter("place <= 2").groupBy("qid")
+    two = two.agg(F.min("b").alias("first"), F.max("b.lost").alias("last"), F.count(F.lit(1)).alias("n"))
+    clear = (F.col("n") == 1) | (F.col("last") - F.col("first.lost") >= margin)
+    best = two.filter(clear).select("qid", "first.product_id")
+    rows = values.select("__key", digest(*SCOPE, "__text").alias("qid"))
     return rows.join(best, "qid", "left").select(
         F.col("__key").alias(key), F.coalesce("product_id", F.lit("")).alias("product_id")
     )

@@ -1,39 +1,54 @@
 """Problem 1: listings of different sellers that describe the same item.
 
-1. Lines and catalogue rows are read into properties and names (:mod:`listings`). Equal wording
-   of one seller is read once.
-2. Families: inside a tenant and a kind, names are banded by MinHash over padded q-grams and
-   clustered with their misspellings; brands, known from the catalogue, are set aside. A wording
-   without a usable name joins its family by part number.
-3. Inside a family each seller's equal listings are collapsed. The listings of every two sellers
-   are scored and matched by maximum weight, one to one; matches are merged, heaviest first,
-   where no stated property differs and the merged item keeps one listing per seller, which
-   holds for every cycle of matches.
-
-Defined results: null and empty wordings, wordings without a kind and a part number, and rows
-without tenant or partner are in no pair; repeated wordings of a seller are the same item; an empty table gives no rows.
+1. Lines and catalogue rows are read into properties and other words (:mod:`listings`). Equal
+   wording of one seller is read once.
+2. Inside a tenant and a kind, words are banded by MinHash over padded q-grams and clustered with
+   their misspellings. Which words name an item is learned: one that stands beside many different
+   ones (a brand, an advertisement) names none. A wording belongs to the family of its most
+   frequent naming word; one of unknown kind looks its words up under all kinds, one without a
+   naming word goes by its part number.
+3. A seller's wordings of a family are collapsed to listings, the fullest first. The listings of every two sellers that contradict each other in nothing are scored and matched
+   by maximum weight, one to one, in each connected component of the two sellers' listings.
+4. Matches are merged heaviest first where the merged item contradicts itself in nothing, holds
+   one listing of each seller, and as many matches between its parts lead into it as out of it,
+   so a cycle of matches that does not close is not merged.
+
+A family meets in one task only as its matches, which are between distinct listings: their
+number is bounded by what can be stated, not by the rows.
+
+Defined results: null and empty wordings, wordings without a naming word and a part number, and
+rows without tenant or partner are in no pair; repeated wordings of a seller are the same item;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import combinations, groupby
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from billweave.llm.catalogue import read_catalogue, read_values
-from billweave.llm.matching import band_keys, candidate_pairs, edit_distance, pairs_within, star_clusters, tune_bands
+from billweave.llm.catalogue import naming_words, read_catalogue, read_values, with_words
+from billweave.llm.matching import (
+    band_keys,
+    candidate_pairs,
+    digest,
+    edit_similarities,
+    may_be_similar,
+    pairs_within,
+    star_clusters,
+    tune_bands,
+)
 from billweave.runtime import materialize
 
-SLIP_SIMILARITY = 0.5
-RECALL = 0.98
-ROWS = 3
-#: A word this much rarer than another one is taken for its misspelling.
-RARER = 3
+SLIP_SIMILARITY, ROWS, RECALL = 0.5, 3, 0.98
+#: Least edit similarity of two spellings of a word: one slip in five letters. Words with digits have one spelling.
+WORD_SIMILARITY = 0.8
 _SIGNATURE = ("colour", "measure", "size", "pack", "code")
+FAMILY = ("tenant_id", "kind", "family")
 
 
 def heaviest_matching(weights: list[list[float]]) -> list[tuple[int, int]]:
@@ -73,131 +88,200 @@ def heaviest_matching(weights: list[list[float]]) -> list[tuple[int, int]]:
     return sorted((match[j] - 1, j - 1) for j in range(1, m + 1) if match[j] and weights[match[j] - 1][j - 1] > 0)
 
 
-def _conflict(a: tuple, b: tuple) -> bool:
-    return any(x and y and x != y for x, y in zip(a, b))
+def _components(pairs: list[tuple]) -> Iterator[list[tuple]]:
+    """The pairs (left, right, ...) of each connected component."""
+    root: dict = {}
 
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
-def _weight(a: tuple, b: tuple) -> float:
-    """How alike two signatures are; 0 where a stated property differs."""
-    if _conflict(a, b):
-        return 0.0
-    same = [bool(x) and x == y for x, y in zip(a, b)]
-    one_sided = sum(bool(x) != bool(y) for x, y in zip(a[:4], b[:4]))
-    return 1.0 + 8.0 * same[4] + 2.0 * sum(same[:4]) - 0.5 * one_sided
+    for pair in pairs:
+        root[find((0, pair[0]))] = find((1, pair[1]))
+    parts: dict = defaultdict(list)
+    for pair in pairs:
+        parts[find((0, pair[0]))].append(pair)
+    yield from parts.values()
 
 
-def _merged(a: tuple, b: tuple) -> tuple:
-    return tuple(x or y for x, y in zip(a, b))
+def match_sellers(pairs: list[tuple]) -> list[tuple]:
+    """Of the pairs (left, right, weight, ...) of two sellers' listings those of a maximum-weight matching."""
+    out = []
+    for part in _components(pairs):
+        left, right = (sorted({p[i] for p in part}) for i in (0, 1))
+        row, column = ({x: i for i, x in enumerate(side)} for side in (left, right))
+        weights = [[0.0] * len(right) for _ in left]
+        for p in part:
+            weights[row[p[0]]][column[p[1]]] = p[2]
+        chosen = {(left[i], right[j]) for i, j in heaviest_matching(weights)}
+        out += [p for p in part if (p[0], p[1]) in chosen]
+    return out
 
 
-def assign_items(sellers: list[str], signatures: list[tuple], counts: list[int]) -> list[int]:
-    """The item number of each listing of one family."""
-    by_code: dict[str, tuple] = {}
-    for s in signatures:  # what a part number says elsewhere holds here too
-        if s[4] and not _conflict(s, by_code.get(s[4], s)):
-            by_code[s[4]] = _merged(by_code.get(s[4], s), s)
-    full = [_merged(s, by_code[s[4]]) if s[4] in by_code and not _conflict(s, by_code[s[4]]) else s for s in signatures]
+def merge_matches(matches: list[tuple]) -> dict:
+    """The item, named by one of its listings, of each listing of a family's matches.
 
-    # one listing per seller and item
-    order = sorted(range(len(full)), key=lambda i: (-sum(map(bool, full[i])), -counts[i], full[i], sellers[i]))
-    listings: list[list] = []  # seller, signature, members, count
-    of_seller: dict[str, list[int]] = defaultdict(list)
-    for i in order:
-        fits = [k for k in of_seller[sellers[i]] if not _conflict(full[i], listings[k][1])]
-        if len(fits) == 1:
-            k = fits[0]
-            listings[k][1] = _merged(listings[k][1], full[i])
-            listings[k][2].append(i)
-            listings[k][3] += counts[i]
-        else:
-            of_seller[sellers[i]].append(len(listings))
-            listings.append([sellers[i], full[i], [i], counts[i]])
-
-    matches = []
-    for s, t in combinations(sorted(of_seller), 2):
-        a, b = of_seller[s], of_seller[t]
-        weights = [[_weight(listings[x][1], listings[y][1]) for y in b] for x in a]
-        matches += [(weights[x][y], listings[a[x]][3] + listings[b[y]][3], a[x], b[y]) for x, y in heaviest_matching(weights)]
-
-    root = list(range(len(listings)))
-    signature = [x[1] for x in listings]
-    held = [{x[0]} for x in listings]
-
-    def find(k: int) -> int:
+    A match is (left, right, weight, rows, left seller, right seller, left signature, right signature).
+    """
+    partner: dict = {}
+    root, held, said = {}, {}, {}
+    for a, b, _, _, s, t, x, y in matches:
+        partner[a, t], partner[b, s] = b, a
+        for k, seller, signature in ((a, s, x), (b, t, y)):
+            root[k], held[k], said[k] = k, {seller: k}, signature
+
+    def find(k):
         while root[k] != k:
             root[k] = root[root[k]]
             k = root[k]
         return k
 
-    for _, _, a, b in sorted(matches, key=lambda x: (-x[0], -x[1], x[2], x[3])):
+    def out_of(left: dict, right: dict) -> tuple[int, int]:
+        """How many matches of one part's listings lead to the other part, and to another listing of its sellers."""
+        ends = [(partner.get((k, t)), right[t]) for k in left.values() for t in right]
+        return sum(p == k for p, k in ends), sum(p is not None and p != k for p, k in ends)
+
+    for a, b, *_ in sorted(matches, key=lambda m: (-m[2], -m[3], m[0], m[1])):
         a, b = find(a), find(b)
-        if a != b and not (held[a] & held[b]) and not _conflict(signature[a], signature[b]):
+        if a == b or held[a].keys() & held[b].keys() or any(x and y and x != y for x, y in zip(said[a], said[b])):
+            continue
+        inside, outside = out_of(held[a], held[b])
+        if inside >= outside + out_of(held[b], held[a])[1] or inside * 2 >= len(held[a]) * len(held[b]):
             root[b] = a
-            signature[a], held[a] = _merged(signature[a], signature[b]), held[a] | held[b]
-    # a listing that says too little for its seller's own choice joins the only item it fits
-    alone = [k for k in range(len(listings)) if find(k) == k and len(held[k]) == 1]
-    tops = [k for k in range(len(listings)) if find(k) == k]
-    for k in alone:
-        fits = [t for t in tops if t != k and find(t) == t and not _conflict(signature[k], signature[t])]
-        if len(fits) == 1 and all(not x or x == y for x, y in zip(signature[k], signature[fits[0]])):
-            root[k] = fits[0]
-    items = [0] * len(full)
-    for k, listing in enumerate(listings):
-        for i in listing[2]:
-            items[i] = find(k)
-    return items
-
-
-_NODE = ("tenant_id", "kind", "family", "seller", *_SIGNATURE, "nid", "n")
-
-
-def _assign_families(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Items of the families of one partition, whose rows come sorted by family."""
-
-    def settle(rows: list[tuple]) -> list[int]:
-        return assign_items([r[3] for r in rows], [r[4:9] for r in rows], [r[10] for r in rows]) if len(rows) > 1 else [0]
-
-    open_: list[tuple] = []
-    for batch in batches:
-        nids: list[int] = []
-        items: list[int] = []
-        for _, rows in groupby(batch[list(_NODE)].itertuples(index=False, name=None), key=lambda r: r[:3]):
-            new = list(rows)
-            if open_ and open_[0][:3] != new[0][:3]:
-                nids += [r[9] for r in open_]
-                items += settle(open_)
-                open_ = []
-            open_ += new
-        yield pd.DataFrame({"nid": nids, "item": items})
-    if open_:
-        yield pd.DataFrame({"nid": [r[9] for r in open_], "item": settle(open_)})
-
-
-def _rank_words(names: pd.Series) -> pd.Series:
-    return pd.Series([[w for w in dict.fromkeys(x.split()) if len(w) >= 4] for x in names])
+            held[a] |= held.pop(b)
+            said[a] = tuple(x or y for x, y in zip(said[a], said.pop(b)))
+    return {k: find(k) for k in root}
+
+
+def _each_group(schema_key: int, names: list[str], settle: Callable[[list[tuple]], list[tuple]], out: list[str]):
+    """mapInPandas function that settles the groups of one partition, whose rows come sorted by their first columns."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_: list[tuple] = []
+        for batch in batches:
+            done: list[tuple] = []
+            for _, rows in groupby(batch[names].itertuples(index=False, name=None), key=lambda r: r[:schema_key]):
+                new = list(rows)
+                if open_ and open_[0][:schema_key] != new[0][:schema_key]:
+                    done += settle(open_)
+                    open_ = []
+                open_ += new
+            yield pd.DataFrame(done, columns=out)
+        yield pd.DataFrame(settle(open_) if open_ else [], columns=out)
+
+    return run
 
 
 def word_families(words: DataFrame) -> DataFrame:
-    """(tenant_id, kind, word, family, weight): each word with the spelling its family goes by.
+    """(tenant_id, kind, word, family): each word with the spelling its family goes by.
 
     ``words`` has (tenant_id, kind, word, weight), one row each.
     """
-    forms = materialize(words.withColumn("id", F.xxhash64("tenant_id", "kind", "word")))
+    spelt = ~F.col("word").rlike("[0-9]")
+    forms = materialize(words.withColumn("id", digest("tenant_id", "kind", "word")))
     bands = tune_bands(SLIP_SIMILARITY, ROWS, RECALL)
     keys = band_keys(F.col("word"), bands, ROWS, F.col("tenant_id"), F.col("kind"))
-    pairs = candidate_pairs(forms, keys, "word", "weight")
-    pairs = pairs.filter(F.levenshtein("word_a", "word_b", 2) >= 0).distinct()
-    low, high = F.least("weight_a", "weight_b"), F.greatest("weight_a", "weight_b")
-    pairs = pairs.filter((low <= 2) | (low * RARER <= high))
+    pairs = candidate_pairs(forms.filter(spelt), keys, "word")
+    pairs = pairs.filter(may_be_similar(F.col("word_a"), F.col("word_b"), WORD_SIMILARITY)).distinct()
+    score = F.pandas_udf(lambda a, b: pd.Series(edit_similarities(list(a), list(b))), "double")("word_a", "word_b")
+    edges = pairs.withColumn("score", score).filter(F.col("score") >= WORD_SIMILARITY - 1e-9).select("id_a", "id_b", "score")
+    centers = star_clusters(forms.select("id", "weight"), edges)
+    heads = forms.select(F.col("id").alias("center"), F.col("word").alias("family"))
+    return forms.join(centers, "id").join(heads, "center").select("tenant_id", "kind", "word", "family")
 
-    def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([1.0 if edit_distance(x, y, 1) <= 1 and min(len(x), len(y)) >= 5 else 0.0 for x, y in zip(a, b)])
 
-    score = F.pandas_udf(likeness, "double")("word_a", "word_b")
-    edges = pairs.withColumn("score", score).filter(F.col("score") > 0).select("id_a", "id_b", "score")
-    centers = star_clusters(forms.select("id", "weight"), edges)
-    heads = forms.select(F.col("id").alias("center"), F.col("word").alias("family"), F.col("weight").alias("head_weight"))
-    return forms.join(centers, "id").join(heads, "center").select("tenant_id", "kind", "word", "family", "head_weight")
+def _families(listings: DataFrame) -> DataFrame:
+    """(tid, kind, family) of the wordings that a naming word places."""
+    words = materialize(with_words(listings.select("tid", "tenant_id", "kind", "names"), "tid", "tenant_id", "kind"))
+    counted = words.groupBy("tenant_id", "kind", "word").agg(F.count(F.lit(1)).alias("weight"))
+    families = materialize(word_families(counted).join(counted, ["tenant_id", "kind", "word"]))
+    # a wording of unknown kind takes its word's most frequent family of a known one
+    of_word = families.filter(F.col("kind") != "").groupBy("tenant_id", "word")
+    of_word = of_word.agg(F.max_by(F.struct("kind", "family"), F.struct("weight", "kind")).alias("known"))
+    used = words.join(families.drop("weight"), ["tenant_id", "kind", "word"])
+    used = used.filter(F.col("kind") != "").unionByName(
+        used.filter(F.col("kind") == "").join(of_word, ["tenant_id", "word"], "left").select(
+            "tenant_id", F.coalesce("known.kind", "kind").alias("kind"), "word", "tid", F.coalesce("known.family", "family").alias("family")
+        )
+    )
+    used = materialize(used.select("tid", "tenant_id", "kind", F.col("family").alias("word")).distinct())
+    named = naming_words(used, "tid", "tenant_id")
+    return named.groupBy("tid").agg(F.max(F.struct("df", "word", "kind")).alias("b")).select("tid", "b.kind", F.col("b.word").alias("family"))
+
+
+def _completed(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with what their part number says elsewhere in the family, where that is one value."""
+    said = nodes.filter(F.col("code") != "").groupBy("fid", "code")
+    stated = [f for f in _SIGNATURE if f != "code"]
+    one = lambda f: F.when(F.count_distinct(F.nullif(f, F.lit(""))) == 1, F.max(f))
+    known = said.agg(*[one(f).alias(f"of_{f}") for f in stated])
+    full = nodes.join(known, ["fid", "code"], "left")
+    return full.withColumns({f: F.when((F.col(f) == ""), F.coalesce(f"of_{f}", F.lit(""))).otherwise(F.col(f)) for f in stated}).select(nodes.columns)
+
+
+def _agree(test: Callable[[Column, Column], Column], names: tuple[str, ...] = _SIGNATURE) -> Column:
+    out = F.lit(True)
+    for f in names:
+        out = out & test(F.col(f"{f}_a"), F.col(f"{f}_b"))
+    return out
+
+
+def one_seller(signatures: list[tuple], counts: list[int]) -> list[int]:
+    """The listing, as the place of its fullest wording, of each wording of one seller and family.
+
+    The fullest wordings come first; each joins the one listing that it contradicts in nothing, and
+    opens one of its own where there is none or several.
+    """
+    order = sorted(range(len(signatures)), key=lambda i: (-sum(map(bool, signatures[i])), -counts[i], signatures[i]))
+    said: dict[int, tuple] = {}
+    out = list(range(len(signatures)))
+    for i in order:
+        fits = [k for k, s in said.items() if not any(x and y and x != y for x, y in zip(s, signatures[i]))]
+        out[i] = fits[0] if len(fits) == 1 else i
+        said[out[i]] = tuple(x or y for x, y in zip(said.get(out[i], signatures[i]), signatures[i]))
+    return out
+
+
+def _settle_seller(rows: list[tuple]) -> list[tuple]:
+    at = one_seller([r[4:] for r in rows], [r[3] for r in rows])
+    return [(r[2], rows[k][2]) for r, k in zip(rows, at)]
+
+
+def seller_listings(nodes: DataFrame) -> DataFrame:
+    """(nid, listing) of every node; the wordings of one seller in one family meet, bounded by what can be stated."""
+    names = ["fid", "seller", "nid", "rows", *_SIGNATURE]
+    ordered = nodes.select(*names).repartition("fid", "seller").sortWithinPartitions("fid", "seller")
+    return ordered.mapInPandas(_each_group(2, names, _settle_seller, ["nid", "listing"]), "nid binary, listing binary")
+
+
+def seller_matches(listings: DataFrame) -> DataFrame:
+    """The matched listings (a, b) of every two sellers of a family, with what the merging needs."""
+    carried = ("nid", "seller", "rows", *_SIGNATURE)
+    both = [listings.select("fid", *[F.col(c).alias(f"{c}_{x}") for c in carried]) for x in "ab"]
+    pairs = both[0].join(both[1], "fid").filter(F.col("seller_a") < F.col("seller_b"))
+    pairs = pairs.filter(_agree(lambda a, b: (a == "") | (b == "") | (a == b)))
+    same = lambda f: ((F.col(f"{f}_a") != "") & (F.col(f"{f}_a") == F.col(f"{f}_b"))).cast("int")
+    one_sided = lambda f: ((F.col(f"{f}_a") == "") != (F.col(f"{f}_b") == "")).cast("int")
+    stated = [f for f in _SIGNATURE if f != "code"]
+    weight = 1.0 + 8.0 * same("code") + 2.0 * sum(map(same, stated)) - 0.5 * sum(map(one_sided, stated))
+    pairs = pairs.withColumn("weight", weight)
+    # a pair that is the only one of both its listings is a component of its own
+    alone = [F.count(F.lit(1)).over(Window.partitionBy("fid", "seller_a", "seller_b", f"nid_{x}")) == 1 for x in "ab"]
+    pairs = materialize(pairs.withColumn("alone", alone[0] & alone[1]))
+    open_ = pairs.filter(~F.col("alone")).select("fid", "seller_a", "seller_b", "nid_a", "nid_b", "weight")
+    names = open_.columns
+    settle = lambda rows: [(*rows[0][:3], a, b) for a, b, _ in match_sellers([r[3:] for r in rows])]
+    ordered = open_.repartition("fid", "seller_a", "seller_b").sortWithinPartitions("fid", "seller_a", "seller_b")
+    chosen = ordered.mapInPandas(_each_group(3, names, settle, names[:5]), "fid binary, seller_a string, seller_b string, nid_a binary, nid_b binary")
+    return pairs.filter("alone").drop("alone").unionByName(pairs.drop("alone").join(chosen.select("nid_a", "nid_b"), ["nid_a", "nid_b"], "left_semi"))
+
+
+def _settle_family(rows: list[tuple]) -> list[tuple]:
+    k = len(_SIGNATURE)
+    matches = [(a, b, w, n, s, t, tuple(rest[:k]), tuple(rest[k:])) for _, a, b, w, n, s, t, *rest in rows]
+    return list(merge_matches(matches).items())
 
 
 def same_items(lines: DataFrame, products: DataFrame) -> DataFrame:
@@ -210,26 +294,13 @@ def same_items(lines: DataFrame, products: DataFrame) -> DataFrame:
     scoped = F.col("tenant_id").isNotNull() & F.col("partner_id").isNotNull()
     lines, products = lines.filter(scoped), products.filter(scoped)
     texts = lines.select(*scope, "description").filter(F.col("description").isNotNull()).distinct()
-    said = read_values(texts.withColumn("tid", F.xxhash64(*scope, "description")), "description").drop("description")
-    held = read_catalogue(products)
-    brands = held.filter(F.col("brand") != "").groupBy(F.col("brand").alias("word")).agg(F.lit(True).alias("is_brand"))
-    held = held.select(
-        F.xxhash64("tenant_id", F.concat(F.lit("P"), "product_id")).alias("tid"), *scope, "kind",
-        F.col("name").alias("names"), *_SIGNATURE,
-    )
-    both = said.select("tid", *scope, "kind", "names", *_SIGNATURE).unionByName(held)
-    both = both.withColumn("pack", F.when(F.col("pack") == "", "1").otherwise(F.col("pack")))
-    both = materialize(both)
-
-    # the words of each wording, with their families; words of brand families are set aside
-    words = both.select("tid", "tenant_id", "kind", F.explode(F.pandas_udf(_rank_words, "array<string>")("names")).alias("word"))
-    words = materialize(words.filter(F.col("kind") != ""))
-    counted = words.groupBy("tenant_id", "kind", "word").agg(F.count(F.lit(1)).alias("weight"))
-    families = materialize(word_families(counted))
-    used = words.join(families, ["tenant_id", "kind", "word"]).join(brands.withColumnRenamed("word", "family"), "family", "left")
-    used = used.filter(F.col("is_brand").isNull())
-    chosen = used.groupBy("tid").agg(F.max_by("family", F.struct("head_weight", "family")).alias("family"))
-    placed = both.join(chosen, "tid", "left")
+    said = read_values(texts.withColumn("tid", digest(*scope, "description")), "description").drop("description")
+    product_key = F.concat(F.lit("P"), F.col("product_id"))
+    held = read_catalogue(products).withColumn("tid", digest("tenant_id", product_key))
+    columns = ("tid", *scope, "kind", "names", *_SIGNATURE)
+    both = said.select(*columns).unionByName(held.select(*columns))
+    both = materialize(both.withColumn("pack", F.when(F.col("pack") == "", "1").otherwise(F.col("pack"))))
+    placed = both.drop("names").withColumnRenamed("kind", "own_kind").join(_families(both), "tid", "left")
 
     # a part number names one item: the family that most of its wordings give holds for all of them
     known = placed.filter((F.col("code") != "") & F.col("family").isNotNull())
@@ -237,26 +308,30 @@ def same_items(lines: DataFrame, products: DataFrame) -> DataFrame:
     best = F.max_by(F.struct("kind", "family"), F.struct("n", "kind", "family"))
     by_code = counted.groupBy("tenant_id", "code").agg(best.alias("of_code"))
     placed = placed.join(by_code, ["tenant_id", "code"], "left")
-    own = F.when(F.col("kind") != "", F.col("family"))
     coded = F.when(F.col("code") != "", F.concat(F.lit("#"), "code"))
     placed = placed.withColumns(
         {
-            "family": F.coalesce("of_code.family", own, coded),
-            "kind": F.coalesce("of_code.kind", F.when(own.isNotNull(), F.col("kind")), F.lit("")),
+            "family": F.coalesce("of_code.family", "family", coded),
+            "kind": F.coalesce("of_code.kind", F.when(F.col("family").isNotNull(), F.col("kind")), F.lit("")),
         }
     ).filter(F.col("family").isNotNull())
-    node = ("tenant_id", "kind", "family", "partner_id", *_SIGNATURE)
-    placed = materialize(placed.select("tid", *node).withColumn("nid", F.xxhash64(*node)))
-    # rows are collapsed to distinct signatures before a family meets in one task
-    nodes = placed.groupBy("nid", *node).agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("partner_id", "seller")
-    family = ("tenant_id", "kind", "family")
-    ordered = nodes.select(*_NODE).repartition(*family).sortWithinPartitions(*family, "seller", *_SIGNATURE)
-    items = ordered.mapInPandas(_assign_families, "nid bigint, item int")
-    labels = placed.join(items, "nid").select("tid", F.xxhash64("tenant_id", "kind", "family", "item").alias("item"))
-    line_keys = lines.select(F.concat(F.lit("L"), "line_id").alias("key"), F.xxhash64(*scope, "description").alias("tid"))
-    product_keys = products.select(
-        F.concat(F.lit("P"), "product_id").alias("key"), F.xxhash64("tenant_id", F.concat(F.lit("P"), "product_id")).alias("tid")
-    )
+    placed = placed.select("tid", digest(*FAMILY).alias("fid"), F.col("partner_id").alias("seller"), *_SIGNATURE)
+    nid = digest(F.hex("fid"), "seller", *_SIGNATURE)
+    placed = materialize(placed.withColumn("nid", nid))
+    # rows are collapsed to distinct signatures before listings meet
+    nodes = placed.groupBy("nid", "fid", "seller", *_SIGNATURE).agg(F.count(F.lit(1)).alias("rows"))
+    nodes = materialize(_completed(nodes))
+    own = materialize(seller_listings(nodes))
+    # what a listing's wordings state is one value or none
+    of_listing = nodes.join(own, "nid").groupBy("fid", "seller", F.col("listing").alias("nid"))
+    matches = seller_matches(of_listing.agg(F.sum("rows").alias("rows"), *[F.max(f).alias(f) for f in _SIGNATURE]))
+    carried = ("fid", "nid_a", "nid_b", "weight", "n", "seller_a", "seller_b", *[f"{f}_{x}" for x in "ab" for f in _SIGNATURE])
+    ordered = matches.withColumn("n", F.col("rows_a") + F.col("rows_b")).select(*carried).repartition("fid").sortWithinPartitions("fid")
+    items = ordered.mapInPandas(_each_group(1, list(carried), _settle_family, ["listing", "item"]), "listing binary, item binary")
+    labels = own.join(items, "listing", "left").select("nid", F.coalesce("item", "listing").alias("item"))
+    labels = placed.select("tid", "nid").join(labels, "nid").select("tid", "item")
+    line_keys = lines.select(F.concat(F.lit("L"), "line_id").alias("key"), digest(*scope, "description").alias("tid"))
+    product_keys = products.select(product_key.alias("key"), digest("tenant_id", product_key).alias("tid"))
     return line_keys.unionByName(product_keys).join(labels, "tid").select("key", "item")
 
 

@@ -13,7 +13,7 @@ import unicodedata
 from functools import lru_cache
 from typing import NamedTuple
 
-from billweave.llm.matching import edit_distance, nearest
+from billweave.llm.matching import nearest
 from billweave.llm.visual_form import visual_text
 
 # Product kinds and the other words for them.
@@ -231,27 +231,3 @@ def read_product(description: str | None, attributes: str | None) -> Listing:
     """A catalogue row: its description, completed by its attributes."""
     said, more = read_listing(description), read_attributes(attributes)
     return Listing(*(a or b for a, b in zip(said, more)))
-
-
-def properties_agree(a: Listing, b: Listing) -> bool:
-    """No property that both state differs, the kind included; part numbers settle themselves."""
-    return all(not x or not y or x == y for x, y in zip((a.kind, *a[2:6]), (b.kind, *b[2:6])))
-
-
-def catalogue_name(names: str) -> tuple[str, str]:
-    """(name, brand) of a catalogue row's words: the last word of open syllables, and the one before.
-
-    Words of other make, such as model lines, are neither; where there is no such word, all of
-    them together are the name.
-    """
-    made = [w for w in names.split() if len(w) >= 5 and _SYLLABLES.fullmatch(w)]
-    if not made:
-        return names, ""
-    return made[-1], made[-2] if len(made) > 1 else ""
-
-
-def mentions(names: str, name: str) -> bool:
-    """Whether the words of a text contain a name, give or take one slip."""
-    if " " in name or len(name) < 5:
-        return f" {name} " in f" {names} "
-    return any(abs(len(w) - len(name)) <= 1 and edit_distance(w, name, 1) <= 1 for w in names.split())

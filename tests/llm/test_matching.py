@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from billweave.llm.addresses import building_pairs, read_address
 from billweave.llm.catalogue import map_to_catalogue
-from billweave.llm.items import assign_items, heaviest_matching, item_pairs
+from billweave.llm.items import heaviest_matching, item_pairs, match_sellers, merge_matches, one_seller
 from billweave.llm.listings import Listing, read_listing, read_product
 from billweave.llm.matching import banding_recall, edit_distance, edit_distances, min_hash_bands, monge_elkan, nearest, star_clusters, tune_bands
 from billweave.llm.names import first_names_agree, party_pairs, read_organisation, read_person
@@ -169,14 +169,31 @@ def test_heaviest_matching_against_brute_force():
     assert heaviest_matching([]) == []
 
 
-def test_assign_items():
-    red, blue, part = ("red", "ml:500", "", "1", ""), ("blue", "ml:500", "", "1", ""), ("", "ml:500", "", "1", "")
-    items = assign_items(["a", "a", "b", "b", "c", "c"], [red, blue, red, blue, red, part], [1] * 6)
-    assert items[0] == items[2] == items[4] and items[1] == items[3] != items[0]
-    coded = [("red", "ml:500", "", "1", "x1"), ("", "", "", "1", "x1"), ("blue", "ml:500", "", "1", "x2")]
-    items = assign_items(["a", "b", "c"], coded, [1] * 3)
-    assert items[0] == items[1] != items[2]
-    assert assign_items(["a"], [red], [1]) == [0]
+def test_one_seller():
+    full, part, blue, other = ("red", "ml:500", "", "1", ""), ("red", "", "", "1", "x1"), ("blue", "ml:500", "", "1", ""), ("", "ml:500", "", "1", "")
+    assert len(set(one_seller([full, part], [1, 1]))) == 1
+    assert one_seller([full, blue, other], [1, 1, 1]) == [0, 1, 2]  # fits two, so it stays by itself
+    assert one_seller([other, full], [9, 1]) == [1, 1]
+
+
+def test_match_sellers_by_component():
+    pairs = [("a", "x", 3.0), ("a", "y", 2.0), ("b", "x", 2.5), ("c", "z", 1.0)]
+    assert sorted(match_sellers(pairs)) == [("a", "y", 2.0), ("b", "x", 2.5), ("c", "z", 1.0)]
+    assert match_sellers([]) == []
+
+
+def test_merge_matches_closes_cycles():
+    red = ("red", "", "", "1", "")
+    edge = lambda a, b, w=3.0: (a, b, w, 2, a[0], b[0], red, red)
+    whole = merge_matches([edge("a1", "b1"), edge("b1", "c1"), edge("a1", "c1")])
+    assert len(set(whole.values())) == 1 and whole.keys() == {"a1", "b1", "c1"}
+    # b1 and c1 belong together, but a1 is matched with c2 and not with c1: two sides of one seller never merge
+    split = merge_matches([edge("a1", "b1", 4.0), edge("b1", "c1"), edge("a1", "c2", 4.0)])
+    assert split["a1"] == split["b1"] == split["c2"] != split["c1"]
+    blue = ("blue", "", "", "1", "")
+    apart = merge_matches([("a1", "b1", 1.0, 2, "a", "b", red, ("", "", "", "1", "")), ("b1", "c1", 1.0, 1, "b", "c", ("", "", "", "1", ""), blue)])
+    assert apart["a1"] == apart["b1"] != apart["c1"]
+    assert merge_matches([]) == {}
 
 
 def test_item_pairs(spark):
@@ -192,6 +209,19 @@ def test_item_pairs(spark):
     assert item_pairs(lines.limit(0), products(spark).limit(0)).count() == 0
 
 
+ITEM = "line_id bigint, tenant_id string, partner_id string, description string"
+
+
+def test_items_of_any_vocabulary(spark):
+    rows = [
+        (1, "t", "r", "handmade Megapopa mug purple 1 l"), (2, "t", "s", "handmade Zavino mug purple 1 l"),
+        (3, "t", "r", "Logitech Mouse M185 grey"), (4, "t", "s", "Mouse Logitech M185, grey"), (5, "t", "s", "Logitech Keyboard K120 grey"),
+        (6, "t", "r", "Abo mug green 3 l"), (7, "t", "s", "green Abo cup 3 l"), (8, "u", "r", "Megapopa Vest Mobuko M"), (9, "u", "s", "Mobuko Gilet M"),
+    ]
+    got = {tuple(r) for r in item_pairs(spark.createDataFrame(rows, ITEM), products(spark).limit(0)).collect()}
+    assert got == {("L3", "L4"), ("L6", "L7"), ("L8", "L9")}
+
+
 def test_queries_run(spark, sf):
     from billweave.llm.queries import QUERIES
 
