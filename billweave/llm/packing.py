@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.encoding import token_counts
+from billweave.llm.encoding import is_long, long_texts, numbered, token_counts
+from billweave.llm.tokens import default_path
 from billweave.runtime import materialize
 
 CAPACITY = 4096
@@ -82,10 +83,12 @@ def fill_containers(
     group_items: int = GROUP_ITEMS,
 ) -> DataFrame:
     """(key, piece_no, first_token, tokens, container) of every item or piece of an item."""
-    sized = docs.select(
-        F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), token_counts(path)(F.col(text)).alias("n")
-    )
-    sized = materialize(sized)  # the ids of the containers depend on the number of rows
+    path = path or default_path()
+    rows = numbered(docs, key, text)
+    short = rows.filter(~is_long()).select("row", "key", token_counts(path)("text").alias("n"))
+    long = long_texts(rows.filter(is_long()), lambda e, ids: (len(ids),), "n int", path)
+    sized = materialize(short.unionByName(long))  # the ids of the containers depend on the number of rows
+    of_key = sized.schema["key"].dataType
     groups = max(1, -(-sized.count() // group_items))
     full = F.expr(f"int(n div {capacity})")
     rest = F.expr(f"n % {capacity}")
@@ -99,7 +102,7 @@ def fill_containers(
     )
     split = F.col("n") > capacity
     open_items = sized.filter(~(split & (rest == 0))).select(
-        "key",
+        F.col("key").cast("string").alias("key"),
         "row",
         F.when(split, full).otherwise(0).alias("piece_no"),
         F.when(split, full * capacity).otherwise(0).alias("first_token"),
@@ -111,11 +114,10 @@ def fill_containers(
         items = items.sort_values(["tokens", "row"], ascending=[False, True])
         windows, _ = pack(items["tokens"].to_numpy(np.int64), capacity)
         group = items["group"].iloc[0]
-        return items[["row", "piece_no", "first_token", "tokens"]].assign(container=[f"mix-{group}-{w}" for w in windows])
+        return items[["key", "piece_no", "first_token", "tokens"]].assign(container=[f"mix-{group}-{w}" for w in windows])
 
-    schema = "row bigint, piece_no int, first_token int, tokens int, container string"
+    schema = "key string, piece_no int, first_token int, tokens int, container string"
     # the sizes are few bytes but much work: a stated number of tasks, each of a few groups
     dealt = open_items.repartition(-(-groups // 4), "group")
-    packed = dealt.groupBy("group").applyInPandas(pack_group, schema)
-    mixed = packed.join(sized.select("row", "key"), "row").select("key", "piece_no", "first_token", "tokens", "container")
+    mixed = dealt.groupBy("group").applyInPandas(pack_group, schema).withColumn("key", F.col("key").cast(of_key))
     return mixed.unionByName(own).withColumnRenamed("key", key)
