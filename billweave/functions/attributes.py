@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from billweave.functions.text import tokens
 
 # Dictionaries in the order they are tried.
 COLORS = {
@@ -26,12 +25,15 @@ PROTECTED = ("color", "material", "size", "model")
 
 
 def _first_hit(words: Column, terms: dict[str, str]) -> Column:
-    return F.coalesce(*[F.when(F.array_contains(words, term), F.lit(value)) for term, value in terms.items()])
+    """The value of the term that comes first in the dictionary: one look-up a word."""
+    place = F.create_map(*[F.lit(x) for i, term in enumerate(terms) for x in (term, i)])
+    first = F.array_min(F.transform(words, lambda w: F.try_element_at(place, w)))
+    return F.get(F.array(*map(F.lit, terms.values())), first)
 
 
 def extract_attributes(normalized: Column) -> Column:
     """Map of color, material and category_hint stated in a normalised text; absent where not stated."""
-    words = tokens(normalized)
+    words = F.split(normalized, " ")  # an empty word is in no dictionary
     shirt = F.when(F.instr(normalized, "t shirt") > 0, F.lit("t-shirt"))
     found = F.create_map(
         F.lit("color"), _first_hit(words, COLORS),

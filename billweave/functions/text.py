@@ -19,18 +19,19 @@ def normalize_ascii(text: Column) -> Column:
 
 
 def _compose(values: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else unicodedata.normalize("NFKC", v).lower() for v in values], dtype=object)
+    out = pd.Series([None] * len(values), dtype=object)
+    there = values.notna()
+    out[there] = [unicodedata.normalize("NFKC", v).lower() for v in values[there]]
+    return out
 
 
 def with_normalized(df: DataFrame, text: str, out: str = "normalized") -> DataFrame:
-    """``df`` with the normal form of ``text``; only rows beyond ASCII visit Python.
+    """``df`` with the normal form of ``text``; only texts beyond ASCII visit Python, all others go as nulls.
 
-    Null gives null, text without letters or digits the empty string.
+    Null gives null, text without letters or digits the empty string. The table is read once.
     """
-    plain = F.col(text).isNull() | F.col(text).rlike(_ASCII)
-    native = df.filter(plain).withColumn(out, normalize_ascii(F.col(text)))
-    composed = F.pandas_udf(_compose, "string")(F.col(text))
-    return native.unionByName(df.filter(~plain).withColumn(out, normalize_ascii(composed)))
+    composed = F.pandas_udf(_compose, "string")(F.when(~F.col(text).rlike(_ASCII), F.col(text)))
+    return df.withColumn(out, normalize_ascii(F.coalesce(composed, F.col(text))))
 
 
 def tokens(normalized: Column) -> Column:

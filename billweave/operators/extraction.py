@@ -12,13 +12,16 @@ from billweave.functions.text import collapse_whitespace, detect_currency
 # Words that end a table, and words of its header.
 STOP_WORDS = ("subtotal", "discount", "tax rate", "total tax", "balance due", "shipping")
 HEADER_WORDS = ("description", "qty", "quantity", "unit price", "total")
+# A number in running text, and a row of an item table.
 _NUM = "([-+]?\\d[\\d.,' ]*)"
 ROW = f"^\\s*(.+?)\\s+{_NUM}\\s+{_NUM}\\s+{_NUM}\\s*$"
 # The labels of a header's entries.
-LABELS = (
-    "invoice_number", "invoice_date", "payment_terms", "currency",
-    *[f"{who}_{what}" for who in ("seller", "bill_to", "ship_to") for what in ("name", "contact", "address", "phone", "email", "website")],
-)
+HEADER_LABELS = ("INVOICE NUMBER", "INVOICE DATE", "PAYMENT TERMS", "CURRENCY")
+PARTY_LABELS = {
+    "seller": ("SELLER NAME", "SELLER CONTACT", "SELLER ADDRESS", "SELLER PHONE", "SELLER EMAIL", "SELLER WEBSITE"),
+    "bill_to": ("BILL TO NAME", "BILL TO CONTACT", "BILL TO ADDRESS", "BILL TO PHONE", "BILL TO EMAIL", "BILL TO WEBSITE"),
+    "ship_to": ("SHIP TO NAME", "SHIP TO CONTACT", "SHIP TO ADDRESS", "SHIP TO PHONE", "SHIP TO EMAIL", "SHIP TO WEBSITE"),
+}
 # The labels of a document's amounts.
 AMOUNT_LABELS = {
     "subtotal": "\\bSUBTOTAL\\b(?!\\s+LESS)",
@@ -125,15 +128,33 @@ def vertical_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def item_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, position, description, numbers, layout) of texts: rows of a table, else a table of one cell a line."""
+    rows = text_to_lines(docs, key, text).withColumnRenamed("line_no", "position").withColumn("layout", F.lit("rows"))
+    rest = docs.join(rows.select(key).distinct(), key, "left_anti")
+    return rows.unionByName(vertical_lines(rest, key, text).withColumn("layout", F.lit("cells")))
+
+
 def declared_subtotal(text: Column) -> Column:
-    """The last number of the first line that starts with "subtotal" but not with "subtotal less"."""
-    line = F.regexp_extract(text, "(?im)^[ \\t]*(subtotal(?!\\s+less)[^\\r\\n]*)$", 1)
-    return parse_decimal(F.try_element_at(F.regexp_extract_all(line, F.lit("([-+]?\\d[\\d.,' ]*)"), F.lit(1)), F.lit(-1)), "decimal(20,4)")
+    """The last readable number of the first line that starts with "subtotal", not "subtotal less", and has one."""
+    lines = F.filter(F.transform(F.split(text, "\\r\\n|\\r|\\n"), collapse_whitespace), lambda x: F.lower(x).rlike("^subtotal(?! less)"))
+    numbers = F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(_NUM), F.lit(1)))
+    parsed = F.transform(numbers, lambda x: F.try_element_at(F.array_compact(F.transform(x, lambda n: parse_decimal(n, "decimal(20,4)"))), F.lit(-1)))
+    return F.get(F.array_compact(parsed), F.lit(0))
+
+
+def declared_subtotal_of_rows(rows: DataFrame, document: str, row_no: str, cells: str) -> DataFrame:
+    """(document, subtotal): the right-most readable cell of the first row labelled exactly "subtotal"."""
+    trimmed = F.transform(F.col(cells), lambda x: F.trim(x))
+    read = rows.select(document, row_no, trimmed.alias("c")).filter(F.lower(F.get("c", F.lit(0))) == "subtotal")
+    numbers = F.transform(F.slice("c", F.lit(2), F.greatest(F.size("c") - 1, F.lit(0))), lambda x: parse_decimal(x, "decimal(20,4)"))
+    read = read.withColumn("subtotal", F.try_element_at(F.array_compact(numbers), F.lit(-1))).filter(F.col("subtotal").isNotNull())
+    return read.groupBy(document).agg(F.min_by("subtotal", row_no).alias("subtotal"))
 
 
 def labelled_value(text: Column, label: str) -> Column:
-    """What follows ``LABEL :`` or ``LABEL =`` on its line; null where absent or empty."""
-    return F.nullif(F.trim(F.regexp_extract(text, f"(?im)^[ \\t]*{label}[ \\t]*[:=][ \\t]*(.*?)[ \\t]*$", 1)), F.lit(""))
+    """What follows ``LABEL :`` or ``LABEL =``, on the next filled line where its own is empty; null where absent."""
+    return F.nullif(F.trim(F.regexp_extract(text, f"(?im)^\\s*{label}\\s*[:=]\\s*(.*?)\\s*$", 1)), F.lit(""))
 
 
 def labelled_amount(text: Column, pattern: str) -> Column:
@@ -142,23 +163,29 @@ def labelled_amount(text: Column, pattern: str) -> Column:
 
 
 def header_facts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Header of plain text: number, dates, terms, currency and amounts.
+    """Header of plain text: number, dates, terms, currency, amounts, and whether it is ``labelled``.
 
-    Labelled entries win; else the first date of 30 lines and the first number of 8 to 20 digits
-    standing alone in 35 lines, and the first "due in N days".
+    A text with any labelled entry is read by its labels alone. Else the first date of 30 lines and
+    the first number of 8 to 20 digits standing alone in 35 lines count, and the first "due in N days".
     """
     t = F.col(text)
+    every = [*HEADER_LABELS, *[x for labels in PARTY_LABELS.values() for x in labels]]
+    entries = docs.select(key, text, F.array(*[labelled_value(t, label) for label in every]).alias("e"))
+    entries = entries.withColumn("labelled", F.exists("e", lambda x: x.isNotNull()))
+    entry = lambda label: F.get("e", F.lit(every.index(label)))
     lines = F.split(t, "\\r\\n|\\r|\\n")
     first = lambda n, f: F.get(F.array_compact(F.transform(F.slice(lines, 1, n), f)), F.lit(0))
     alone = first(35, lambda x: F.when(F.trim(x).rlike("^\\d{8,20}$"), F.trim(x)))
-    number = F.coalesce(labelled_value(t, "INVOICE NUMBER"), alone)
-    issued = F.coalesce(parse_invoice_date(labelled_value(t, "INVOICE DATE")), first(30, parse_invoice_date))
-    terms = F.coalesce(
-        labelled_value(t, "PAYMENT TERMS"), F.nullif(F.regexp_extract(t, "(?i)\\bDue\\s+in\\s+\\d+\\s+days?\\b", 0), F.lit(""))
-    )
-    out = docs.select(key, text, number.alias("invoice_number"), issued.alias("invoice_date"), terms.alias("payment_terms"))
+    due = F.nullif(F.regexp_extract(t, "(?i)\\bDue\\s+in\\s+\\d+\\s+days?\\b", 0), F.lit(""))
+    found = {
+        "invoice_number": (entry("INVOICE NUMBER"), alone),
+        "invoice_date": (parse_invoice_date(entry("INVOICE DATE")), first(30, parse_invoice_date)),
+        "payment_terms": (entry("PAYMENT TERMS"), due),
+    }
+    read = {n: F.when(F.col("labelled"), a).otherwise(b).alias(n) for n, (a, b) in found.items()}
+    out = entries.select(key, text, "labelled", *read.values(), entry("CURRENCY").alias("said"))
     out = out.withColumn("due_date", due_date(F.col("invoice_date"), F.col("payment_terms")))
-    out = out.withColumn("currency", detect_currency(t, labelled_value(t, "CURRENCY")))
+    out = out.withColumn("currency", detect_currency(t, F.col("said"))).drop("said")
     rate = F.nullif(F.regexp_extract(t, f"(?im)\\bTAX\\s+RATE\\b\\s*[:=]?\\s*{_NUM}\\s*%", 1), F.lit(""))
     names = [*AMOUNT_LABELS, "tax_rate_percent"]
     written = F.array(*[labelled_amount(t, pattern) for pattern in AMOUNT_LABELS.values()], rate)
@@ -167,6 +194,17 @@ def header_facts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return out.withColumns({n: F.get("amounts", F.lit(i)) for i, n in enumerate(names)}).drop(text, "amounts")
 
 
+def labelled_entries(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, key_name, value) of the labelled party entries of texts, as :func:`parties.from_key_values` reads them."""
+    t = F.col(text)
+    cells = [
+        F.struct(F.lit(label.lower().replace(" ", "_")).alias("key"), labelled_value(t, label).alias("value"))
+        for labels in PARTY_LABELS.values()
+        for label in labels
+    ]
+    return docs.select(F.col(key).alias("document"), F.inline(F.array(*cells))).filter(F.col("value").isNotNull()).withColumnRenamed("document", key)
+
+
 def key_values(rows: DataFrame, document: str, row_no: str, cells: str) -> DataFrame:
     """(document, key, value) of metadata rows: the first filled cell after the key, the last row wins."""
     trimmed = F.transform(F.col(cells), lambda x: F.trim(x))

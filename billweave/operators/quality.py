@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from decimal import Decimal
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billweave.functions.money import parse_decimal, to_decimal
@@ -72,7 +76,32 @@ def financial_quality(documents: DataFrame, *keys: str) -> DataFrame:
 
 
 def running_budget(rows: DataFrame, key: str, order: str, cost: Column, calls: int, total: str) -> DataFrame:
-    """Running calls and (decimal) cost per key in order, and whether each call still fits both limits."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.withColumns({"calls": F.count(F.lit(1)).over(w), "spent": F.sum(cost).over(w)})
-    return out.withColumn("allowed", (F.col("calls") <= calls) & (F.col("spent") <= F.lit(total).cast("decimal(18,7)")))
+    """``rows`` with the calls made and spent up to each row, in order, and whether its own call is ``allowed``.
+
+    A call is made where one more fits the number and its (decimal) cost the total; a refused one
+    counts and costs nothing, so a cheaper later one may still be made. One running state a key:
+    the rows of a key pass in order and are never held together. A null cost is zero.
+    """
+    scale = 7
+    units = F.coalesce((cost * 10**scale).cast("bigint"), F.lit(0))
+    most = int(Decimal(total).scaleb(scale))
+    ready = rows.withColumn("__units", units).repartition(key).sortWithinPartitions(key, order)
+    names = [f.name for f in rows.schema]
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, made, spent = object(), 0, 0
+        for batch in batches:
+            out = []
+            for name, cost_ in zip(batch[key], batch["__units"]):
+                name = None if pd.isna(name) else name
+                if name != now:
+                    now, made, spent = name, 0, 0
+                fits = made < calls and spent + cost_ <= most
+                if fits:
+                    made, spent = made + 1, spent + cost_
+                out.append((made, spent, fits))
+            yield batch[names].assign(calls=[x[0] for x in out], __spent=[x[1] for x in out], allowed=[x[2] for x in out])
+
+    done = ready.mapInPandas(run, f"{kept}, calls bigint, __spent bigint, allowed boolean")
+    return done.withColumn("spent", (F.col("__spent").cast("decimal(20,0)") / F.lit(10**scale)).cast("decimal(18,7)")).drop("__spent")

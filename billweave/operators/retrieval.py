@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from billweave.functions.scoring import hybrid_score
 from billweave.functions.text import ngram_jaccard, sequence_similarity, token_jaccard, tokens
 
 SCOPE = ("tenant_id", "partner_id")
+#: Matrices of vectors that one task compares with the queries.
+GROUP_CHUNKS = 8
 
 
 def approved_aliases(aliases: DataFrame, products: DataFrame) -> DataFrame:
@@ -67,7 +72,9 @@ def token_similarity_pairs(left: DataFrame, right: DataFrame, scope: tuple[str,
 def top_k(scored: DataFrame, query: str, item: str, score: str, k: int) -> DataFrame:
     """The k best items of each query, their rank and the margin of the first to the second."""
     w = Window.partitionBy(query).orderBy(F.desc(score), F.asc(item))
-    ranked = scored.withColumns({"rank": F.row_number().over(w), "__next": F.lead(score).over(w)})
+    # the limit stands before the look at the runner-up, so each task keeps its best alone
+    best = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(k, 2))
+    ranked = best.withColumn("__next", F.lead(score).over(w))
     margin = F.when(F.col("rank") == 1, F.round(F.col(score) - F.coalesce("__next", F.lit(0.0)), 6))
     return ranked.withColumn("margin", margin).filter(F.col("rank") <= k).drop("__next")
 
@@ -131,21 +138,51 @@ def hybrid_search(
     return top_k(kept, "query_id", "product_id", "score", k)
 
 
-def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 256) -> DataFrame:
+def _chunks(side: DataFrame, rows: int) -> DataFrame:
+    """Vectors as matrices: (ids, width, data) of at most ``rows`` vectors of one length, made where they are read."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lengths = batch["embedding"].map(len)
+            for width, part in batch.groupby(lengths):
+                for at in range(0, len(part) if width else 0, rows):
+                    some = part.iloc[at : at + rows]
+                    data = np.stack(some["embedding"].to_numpy()).astype(np.float64).tobytes()
+                    yield pd.DataFrame({"ids": [some["vec_id"].to_numpy(np.int64)], "width": [width], "data": [data]})
+
+    whole = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+    return side.filter(whole).select("vec_id", "embedding").mapInPandas(pack, "ids array<bigint>, width int, data binary")
+
+
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 256, rows: int = 2048) -> DataFrame:
     """The k nearest vectors of each query by cosine, the query itself left out.
 
     Both sides have (vec_id, embedding). The stated queries are dealt into blocks of bounded size
-    and every vector meets each block once; blocks and vectors join on the block's number. Zero
-    vectors and vectors of another length have no cosine and are in no result.
+    and every matrix of vectors meets each block once, as one matrix product that keeps k rows a
+    query. Zero vectors, vectors with nulls and vectors of another length have no cosine and are
+    in no result.
     """
     n = max(1, math.ceil(queries.count() / block))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block"))
-    v = vectors.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("block"))
-
-    def dot(a: Column, b: Column) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-
-    pairs = q.join(v, "block").filter((F.col("query_id") != F.col("vec_id")) & (F.size("q") == F.size("embedding")))
-    norm = F.sqrt(dot(F.col("q"), F.col("q"))) * F.sqrt(dot(F.col("embedding"), F.col("embedding")))
-    scored = pairs.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")) / F.nullif(norm, F.lit(0.0)), 6).alias("cosine"))
-    return top_k(scored.filter("cosine is not null"), "query_id", "vec_id", "cosine", k)
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n))).repartition(n, "block")
+    q = _chunks(dealt.drop("block"), block).select(F.col("ids").alias("q_ids"), "width", F.col("data").alias("q"))
+    # the queries, a small share of the rows, go to every group of matrices, not the matrices to every block
+    groups = max(1, math.ceil(vectors.count() / (rows * GROUP_CHUNKS)))
+    q = q.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    v = _chunks(vectors, rows).withColumn("group", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(groups)).cast("int"))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for q_ids, ids, width, a, b in batch[["q_ids", "ids", "width", "q", "data"]].itertuples(index=False, name=None):
+                left, right = (np.frombuffer(x, dtype=np.float64).reshape(-1, width) for x in (a, b))
+                norms = np.linalg.norm(left, axis=1)[:, None] * np.linalg.norm(right, axis=1)[None, :]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    cosine = np.round(left @ right.T / norms, 6)
+                cosine[(norms == 0) | (np.asarray(q_ids)[:, None] == np.asarray(ids)[None, :])] = np.nan
+                for i, name in enumerate(q_ids):
+                    there = np.flatnonzero(~np.isnan(cosine[i]))
+                    best = there[np.lexsort((ids[there], -cosine[i][there]))[:k]]
+                    yield pd.DataFrame({"query_id": name, "vec_id": ids[best], "cosine": cosine[i][best]})
+
+    pairs = v.join(q, ["group", "width"])
+    scored = pairs.mapInPandas(nearest, "query_id bigint, vec_id bigint, cosine double")
+    return top_k(scored, "query_id", "vec_id", "cosine", k)

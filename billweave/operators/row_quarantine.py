@@ -1,7 +1,7 @@
 """Load delimited rows and typed amounts; set the rows that do not parse apart with a reason.
 
-Numbers are judged once per distinct (column, value): the failing ones form a dictionary of
-invalid values, which is joined back to the rows. Structure (quoting, column count, the
+Numbers are judged and cast once per distinct (column, value): they form a dictionary of numbers
+and of invalid values with their reason, which is joined back to the rows. Structure (quoting, column count, the
 description) is judged on the row itself by one regular expression.
 
 Defined results: a null or blank number is missing and never fails; a null raw row is no
@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from billweave.functions.money import MONEY, QUANTITY, is_missing, is_number, number_text, typed_number
+from billweave.functions.money import MONEY, QUANTITY, is_missing, number_text, typed_number
 from billweave.runtime import broadcast_if_small, materialize
 
 LINE_FIELDS = ("description", "quantity", "unit_price", "total")
@@ -49,19 +49,30 @@ def split_record(raw: Column, delimiter: Column) -> Column:
     return F.when(F.regexp_like(raw, record), unquoted)
 
 
-def invalid_values(long: DataFrame) -> DataFrame:
-    """Dictionary of the distinct (field, value) pairs that are no number, with the reason."""
-    bad = long.select("field", "value").distinct().filter(~is_number(F.col("value")))
-    return bad.select("field", "value", F.col("field").alias("reason"))
+def number_dictionary(long: DataFrame) -> DataFrame:
+    """(field, value, text, number, reason) of the distinct (field, value) pairs, each judged and cast once.
 
+    ``reason`` is the field where the value is no number; ``number`` is null there and where the
+    number is longer than its field's type.
+    """
+    read = long.select("field", "value").distinct().withColumn("text", number_text(F.col("value")))
+    number = F.when(F.col("field") == "quantity", typed_number(F.col("text"), QUANTITY)).otherwise(typed_number(F.col("text"), MONEY))
+    return read.withColumns({"number": number, "reason": F.when(F.col("text").isNull(), F.col("field"))})
 
-def number_failures(rows: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """(key, rank, reason) of the first of ``fields`` that fails in each row of ``rows``."""
+
+def number_cells(rows: DataFrame, fields: Sequence[str], *keep: str) -> DataFrame:
+    """(keep, rank, field, value) of the numbers of each row that are not missing."""
     cells = F.array(
         *[F.struct(F.lit(i).alias("rank"), F.lit(f).alias("field"), F.col(f).alias("value")) for i, f in enumerate(fields)]
     )
-    long = rows.select(F.col(key).alias("key"), F.inline(cells)).filter(~is_missing(F.col("value")))
-    bad = broadcast_if_small(materialize(invalid_values(long)), "field", "value", "reason")
+    return rows.select(*keep, F.inline(cells)).filter(~is_missing(F.col("value")))
+
+
+def number_failures(rows: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(key, rank, reason) of the first of ``fields`` that fails in each row of ``rows``."""
+    long = number_cells(rows.withColumnRenamed(key, "key"), fields, "key")
+    bad = number_dictionary(long).filter(F.col("reason").isNotNull()).select("field", "value", "reason")
+    bad = broadcast_if_small(materialize(bad), "field", "value", "reason")
     hits = long.join(bad, ["field", "value"])
     first = hits.groupBy("key").agg(F.min(F.struct("rank", "reason")).alias("first"))
     return first.select("key", "first.rank", "first.reason")
@@ -96,34 +107,36 @@ def rejected_lines(lines: DataFrame) -> DataFrame:
     return number_failures(lines, "line_id", ("unit_price", "total")).select("key", "reason")
 
 
-def with_typed_amounts(rows: DataFrame, *keep: str) -> DataFrame:
-    """``keep``, the three numbers typed, and ``untyped``: (field, text) of those without a typed value."""
-    amounts = dict(zip(LINE_FIELDS[1:], (QUANTITY, MONEY, MONEY)))
-    read = rows.select(*keep, *amounts, *[number_text(F.col(f)).alias(f"__{f}_text") for f in amounts])
-    typed = {f: typed_number(F.col(f"__{f}_text"), dtype) for f, dtype in amounts.items()}
-    left = [
-        F.when(
-            typed[f].isNull() & ~is_missing(F.col(f)),
-            F.struct(F.lit(f).alias("field"), F.coalesce(f"__{f}_text", f).alias("text")),
-        )
-        for f in amounts
-    ]
-    return read.select(*keep, *[c.alias(f) for f, c in typed.items()], F.array_compact(F.array(*left)).alias("untyped"))
+def load_numbers(rows: DataFrame, *keep: str, optional: Sequence[str] = ()) -> DataFrame:
+    """``keep`` and the three numbers, typed, of the rows without a failing one; the dictionary's numbers are joined in.
+
+    A row is known by its place in the scan, so rows without a key or with a repeated one stay rows
+    of their own. A field of ``optional`` fails nothing. ``untyped`` lists (field=text) what is too
+    long for its type and what is no number in an optional field.
+    """
+    fields = LINE_FIELDS[1:]
+    rows = rows.select(F.monotonically_increasing_id().alias("__row"), *keep, *fields)
+    long = number_cells(rows, fields, "__row")
+    known = broadcast_if_small(materialize(number_dictionary(long)), "field", "value", "text")
+    fails = F.col("reason").isNotNull() & ~F.col("field").isin(*optional)
+    left = F.when(F.col("number").isNull(), F.concat(F.col("field"), F.lit("="), F.coalesce("text", "value")))
+    cells = long.join(known, ["field", "value"]).select("__row", "field", "number", fails.alias("fails"), left.alias("left"))
+    together = rows.select("__row", *keep).unionByName(cells, allowMissingColumns=True).groupBy("__row")
+    loaded = together.agg(
+        *[F.max(c).alias(c) for c in keep],
+        F.bool_or(F.coalesce("fails", F.lit(False))).alias("__bad"),
+        *[F.max(F.when(F.col("field") == f, F.col("number"))).cast(QUANTITY if f == "quantity" else MONEY).alias(f) for f in fields],
+        F.array_join(F.array_sort(F.collect_list("left")), ";").alias("untyped"),
+    )
+    return loaded.filter(~F.col("__bad")).drop("__row", "__bad")
 
 
 def loaded_raw_rows(rows: DataFrame) -> DataFrame:
     """The raw line rows that load, typed; the complement of :func:`rejected_raw_rows`."""
-    parsed = raw_row_fields(rows.filter(F.col("section") == "line")).filter(F.col("structure").isNull())
-    good = parsed.join(rejected_raw_rows(rows).select("key"), "key", "left_anti")
-    return with_typed_amounts(good.withColumnRenamed("key", "row_id"), "row_id", "description")
+    sound = raw_row_fields(rows.filter(F.col("section") == "line")).filter(F.col("structure").isNull())
+    return load_numbers(sound.withColumnRenamed("key", "row_id"), "row_id", "description")
 
 
 def loaded_lines(lines: DataFrame) -> DataFrame:
-    """The stored lines whose amounts load, typed; the complement of :func:`rejected_lines`.
-
-    Each row is judged by itself, so a row without a line_id is loaded or rejected like any other.
-    """
-    good = F.lit(True)
-    for amount in ("unit_price", "total"):
-        good = good & (is_missing(F.col(amount)) | is_number(F.col(amount)))
-    return with_typed_amounts(lines.filter(good), "line_id", "description")
+    """The stored lines whose amounts load, typed; the complement of :func:`rejected_lines`."""
+    return load_numbers(lines, "line_id", "description", optional=("quantity",))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from billweave.functions import attributes as A
 from billweave.functions import text as T
-from billweave.functions.dates import due_date, parse_invoice_date
+from billweave.functions.dates import DAY_FIRST, MONTHS, due_date, parse_invoice_date
 from billweave.functions.money import decimal_text, money, parse_decimal, to_decimal
 from billweave.functions.scoring import generated_policy, retrieval_policy, review_priority, token_cost
 from billweave.operators import evaluation as E
@@ -157,9 +157,9 @@ def financial_reconciliation(spark, d):
 
 
 _MONTH_CASE = "CASE lower(m) " + " ".join(
-    f"WHEN '{name}' THEN {n}" for name, n in __import__("billweave.functions.dates", fromlist=["MONTHS"]).MONTHS.items()
+    f"WHEN '{name}' THEN {n}" for name, n in MONTHS.items()
 ) + " ELSE try_cast(m AS INT) END"
-_DMY = r"\b(\d{1,2})[.\-/ ]+([A-Za-zÄÖÜäöü]+|\d{1,2})[.\-/ ]+(\d{4})\b"
+_DMY = DAY_FIRST
 
 
 @query(rf"""WITH p AS (SELECT document_id, invoice_date AS raw, payment_terms, regexp_extract(trim(invoice_date), '{_DMY}', 1) AS dd,
@@ -286,17 +286,18 @@ def semantic_topk(spark, d):
 def _clusters(spark, d) -> DataFrame:
     kinds = ("generated_candidate", "abstained", "pending_review_reuse")
     lines = table(spark, d, "invoice_lines").filter(F.col("decision_kind").isin(*kinds))
-    columns = ("line_id", *SCOPE, "description", "total", "currency", "created_at")
+    columns = ("line_id", *SCOPE, "description", "total", "currency", "created_at", "decision_kind", "requires_human_review")
     return V.pending_clusters(T.with_normalized(lines.select(*columns), "description"))
 
 
 _CLUSTER = f"""l AS (SELECT *, sha256(concat_ws('|', 'candidate', tenant_id, partner_id, normalized)) AS k, coalesce(nullif(upper(trim(currency)), ''), 'UNSPECIFIED') AS cur,
   abs({dec_sql('total', 'DECIMAL(18,2)')}) AS amount FROM ({_LINES_N}) WHERE decision_kind IN ('generated_candidate', 'abstained', 'pending_review_reuse') AND description IS NOT NULL),
-c AS (SELECT k, tenant_id, count(*) AS n, min(created_at) AS first_seen, max(created_at) AS last_seen FROM l GROUP BY 1, 2),
+c AS (SELECT k, tenant_id, count(*) AS n, min(created_at) AS first_seen, max(created_at) AS last_seen, bool_or(coalesce(requires_human_review, false)) AS blocks,
+  bool_or(decision_kind = 'generated_candidate') AS assisted FROM l GROUP BY 1, 2),
 m AS (SELECT k, cur, CAST(coalesce(sum(amount), 0) AS DECIMAL(20,2)) AS total FROM l GROUP BY 1, 2),
 f AS (SELECT k, '{{' || string_agg('"' || cur || '":"' || total || '"', ',' ORDER BY cur) || '}}' AS by_currency, count(*) FILTER (total <> 0) AS nz,
   max(total) AS one, max(cur) FILTER (total <> 0) AS onecur FROM m GROUP BY 1),
-j AS (SELECT k, tenant_id, n, first_seen, last_seen, by_currency, CASE WHEN nz = 1 THEN one ELSE 0 END AS value, CASE WHEN nz = 1 THEN onecur WHEN nz > 1 THEN 'MIXED' END AS cur,
+j AS (SELECT k, tenant_id, n, first_seen, last_seen, blocks, assisted, by_currency, CASE WHEN nz = 1 THEN one ELSE 0 END AS value, CASE WHEN nz = 1 THEN onecur WHEN nz > 1 THEN 'MIXED' END AS cur,
   round((1 + ln(1 + n)) * (1 + CASE WHEN nz > 1 THEN 0 ELSE ln(1 + CAST(CASE WHEN nz = 1 THEN one ELSE 0 END AS DOUBLE)) END), 6) AS priority FROM c JOIN f USING (k))"""
 
 
@@ -319,8 +320,11 @@ def pending_review_cluster(spark, d):
 
 
 @query(f"""WITH {_CLUSTER}, r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY priority DESC, n DESC, last_seen, k) AS o FROM j)
-SELECT tenant_id, count(*) AS candidates, sum(n)::BIGINT AS lines, count(*) FILTER (cur = 'MIXED') AS mixed, (sum(n) FILTER (o <= 10))::BIGINT AS top_lines,
-  round((sum(n) FILTER (o <= 10)) / sum(n), 4) AS top_share FROM r GROUP BY 1""")
+, s AS (SELECT tenant_id, '{{' || string_agg('"' || cur || '":"' || total || '"', ',' ORDER BY cur) || '}}' AS affected_values_json FROM (
+  SELECT tenant_id, cur, sum(m.total) AS total FROM m JOIN c USING (k) GROUP BY 1, 2) GROUP BY 1)
+SELECT tenant_id, count(*) AS candidates, sum(n)::BIGINT AS lines, count(*) FILTER (cur = 'MIXED') AS mixed, count(*) FILTER (blocks) AS blocking,
+  count(*) FILTER (NOT blocks) AS nonblocking, count(*) FILTER (assisted) AS assisted, (sum(n) FILTER (o <= 10))::BIGINT AS top_lines,
+  round((sum(n) FILTER (o <= 10)) / sum(n), 4) AS top_share, any_value(affected_values_json) AS affected_values_json FROM r JOIN s USING (tenant_id) GROUP BY 1""")
 def review_backlog_summary(spark, d):
     """Backlog per tenant and the share of its top ten."""
     return V.backlog_summary(_clusters(spark, d))
@@ -460,7 +464,9 @@ def currency_detect(spark, d):
 
 def _raw_cells(spark, d, *sections: str) -> DataFrame:
     rows = table(spark, d, "equivalent_invoice").filter(F.col("section").isin(*sections))
-    return rows.select("source_name", "row_no", split_record(F.col("c1"), F.col("delimiter")).alias("cells")).filter("cells is not null")
+    # a row that is no record stays, as one cell of its raw text
+    cells = F.coalesce(split_record(F.col("c1"), F.col("delimiter")), F.array("c1"))
+    return rows.select("source_name", "row_no", cells.alias("cells"))
 
 
 @query("""WITH r AS (SELECT source_name, row_no, lower(replace(trim(string_split(c1, delimiter)[1], ' '), ' ', '_')) AS k, nullif(trim(string_split(c1, delimiter)[2], ' '), '') AS v
@@ -490,15 +496,19 @@ def text_header_facts(spark, d):
     return X.header_facts(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("""WITH r AS (SELECT line_id, document_id, count(*) OVER w AS calls, sum(CAST(ceil(length(coalesce(description, '')) / 4.0) AS DECIMAL(10,0)) * 0.0000005 + 0.0001) OVER w AS spent
-FROM invoice_lines WINDOW w AS (PARTITION BY document_id ORDER BY line_id ROWS UNBOUNDED PRECEDING))
-SELECT line_id, calls, CAST(spent AS DOUBLE) AS spent, calls <= 25 AND spent <= 0.25 AS allowed FROM r""")
+@query("""WITH RECURSIVE c AS (SELECT line_id, document_id, CAST(ceil(length(coalesce(description, '')) / 4.0) AS DECIMAL(10,0)) * 0.0005 + 0.01 AS cost,
+  row_number() OVER (PARTITION BY document_id ORDER BY line_id) AS n FROM invoice_lines),
+w AS (SELECT line_id, document_id, n, CASE WHEN cost <= 0.05 THEN 1 ELSE 0 END AS calls, CASE WHEN cost <= 0.05 THEN cost ELSE 0 END AS spent, cost <= 0.05 AS allowed FROM c WHERE n = 1
+  UNION ALL SELECT c.line_id, c.document_id, c.n, CASE WHEN w.calls < 3 AND w.spent + c.cost <= 0.05 THEN w.calls + 1 ELSE w.calls END,
+    CASE WHEN w.calls < 3 AND w.spent + c.cost <= 0.05 THEN w.spent + c.cost ELSE w.spent END, w.calls < 3 AND w.spent + c.cost <= 0.05
+  FROM w JOIN c ON c.document_id IS NOT DISTINCT FROM w.document_id AND c.n = w.n + 1)
+SELECT line_id, calls, CAST(spent AS DOUBLE) AS spent, allowed FROM w""")
 def budget_running(spark, d):
-    """Running number and cost of calls in a document, against its limits."""
+    """Calls made and spent in a document up to each line, against three calls and a total that dear lines exceed."""
     lines = table(spark, d, "invoice_lines").select("line_id", "document_id", "description")
     tokens = F.ceil(F.char_length(F.coalesce("description", F.lit(""))) / 4).cast("decimal(10,0)")
-    cost = (tokens * F.lit("0.0000005").cast("decimal(10,7)") + F.lit("0.0001").cast("decimal(5,4)")).cast("decimal(18,7)")
-    out = Q.running_budget(lines, "document_id", "line_id", cost, 25, "0.25")
+    cost = (tokens * F.lit("0.0005").cast("decimal(10,4)") + F.lit("0.01").cast("decimal(5,2)")).cast("decimal(18,7)")
+    out = Q.running_budget(lines, "document_id", "line_id", cost, 3, "0.05")
     return out.select("line_id", "calls", F.col("spent").cast("double").alias("spent"), "allowed")
 
 
@@ -595,22 +605,71 @@ def first_answer_contained(spark, d):
     return table(spark, d, "documents").select("doc_id", kind.alias("kind"))
 
 
-@query()
+_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+_ENDS = "[\\s\u00a0\u3000]+"
+
+
+@query(f"""WITH l AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '{_BREAK}'), lambda x: regexp_replace(regexp_replace(x, '^{_ENDS}', ''), '{_ENDS}$', '')), lambda x: x <> '') AS l FROM documents),
+h AS (SELECT *, greatest(coalesce(list_min(list_filter(list_transform(l, lambda x, i: CASE WHEN regexp_matches(lower(x), 'description|purchased item|line item') THEN i END), lambda i: i IS NOT NULL)), 1) - 2, 1) AS a FROM l),
+e AS (SELECT *, list_min(list_filter(list_transform(l, lambda x, i: CASE WHEN i >= a AND regexp_matches(lower(x), '^(subtotal|balance due)') THEN i END), lambda i: i IS NOT NULL)) AS z FROM h),
+r AS (SELECT doc_id, text, array_to_string(l[a:least(coalesce(z + 1, len(l)), len(l))], chr(10)) AS region FROM e)
+SELECT doc_id, md5(CASE WHEN region = '' THEN text ELSE region END) AS region FROM r""")
 def item_regions(spark, d):
+    """The part of each document around its items (digest)."""
+    return table(spark, d, "documents").select("doc_id", F.md5(F.encode(K.item_region(F.col("text")), "UTF-8")).alias("region"))
+
+
+@query()
+def item_regions_minimized(spark, d):
     """The part of each document around its items, without personal data."""
-    return table(spark, d, "documents").select("doc_id", K.item_region(F.col("text"), 12_000).alias("region"))
+    return table(spark, d, "documents").select("doc_id", K.minimized_region(F.col("text"), 12_000).alias("region"))
 
 
 @query()
-def text_vertical_tables(spark, d):
-    """Lines of documents whose table cells stand one to a text line."""
-    return X.vertical_lines(table(spark, d, "documents"), "doc_id", "text")
+def text_item_lines(spark, d):
+    """Lines of documents: rows of item tables, else tables whose cells stand one to a text line."""
+    return X.item_lines(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _as_cells(spark, d) -> DataFrame:
+    """Sound file lines written as documents of one cell a text line, three lines of a source to a document."""
+    lines = X.rows_to_lines(_raw_cells(spark, d, "header", "line", "totals"), "source_name", "row_no", "cells")
+    lines = lines.filter("quantity is not null and unit_price is not null and total is not null")
+    lines = lines.withColumn("description", F.regexp_replace("description", "[^A-Za-z ]", "x"))
+    line = F.concat_ws("\n", "description", *[F.col(c).cast("string") for c in ("quantity", "unit_price", "total")])
+    # a delivered file holds a few dozen line rows
+    whole = lines.groupBy("source_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", line.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
+    return whole.select("source_name", F.concat(F.lit("Invoice\nDescription\nQty\nUnit price\nTotal\n"), "body", F.lit("\nSubtotal\n1\n2\n3")).alias("text"))
 
 
 @query()
+def text_vertical_tables(spark, d):
+    """Lines of delivered files after they were written as one cell a line: each comes back."""
+    found = X.item_lines(_as_cells(spark, d), "source_name", "text")
+    return found.select("source_name", "description", *[F.col(c).cast("string").alias(c) for c in ("quantity", "unit_price", "total")])
+
+
+def _as_layout(spark, d) -> DataFrame:
+    """Parties of documents written in three columns of 40 characters."""
+    parties = table(spark, d, "invoice_parties").filter("name is not null and role in ('seller', 'bill_to', 'ship_to')")
+    one = F.substring(F.regexp_replace("name", "[^A-Za-z ]", "x"), 1, 38)
+    wide = parties.groupBy("document_id", "tenant_id").agg(*[F.max(F.when(F.col("role") == r, one)).alias(r) for r in P.ROLES])
+    cells = [F.rpad(F.coalesce(r, F.lit("")), 40, " ") for r in P.ROLES]
+    head = F.concat(F.rpad(F.lit(""), 40, " "), F.rpad(F.lit("BILL TO"), 40, " "), F.lit("SHIP TO"))
+    return wide.select(
+        F.concat_ws("/", "tenant_id", "document_id").alias("doc"),
+        F.concat(head, F.lit("\n"), F.concat(*cells), F.lit("\nDESCRIPTION QTY TOTAL\n")).alias("text"),
+    )
+
+
+@query("""SELECT tenant_id || '/' || document_id AS doc, role, name FROM (SELECT tenant_id, document_id, role,
+  max(trim(regexp_replace(substr(regexp_replace(name, '[^A-Za-z ]', 'x', 'g'), 1, 38), ' +', ' ', 'g'))) AS name FROM invoice_parties
+  WHERE role IN ('seller', 'bill_to', 'ship_to') GROUP BY 1, 2, 3) WHERE name IS NOT NULL AND name <> ''""")
 def text_layout_parties(spark, d):
-    """Parties of documents laid out in three columns."""
-    return P.from_layout(table(spark, d, "documents"), "doc_id", "text")
+    """Parties of documents laid out in three columns: each name comes back under its role."""
+    return P.from_layout(_as_layout(spark, d), "doc", "text").select(
+        "doc", "role", F.when(F.col("contact_name").isNull(), F.col("name")).otherwise(F.col("contact_name")).alias("name")
+    )
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

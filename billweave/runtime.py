@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -35,11 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; set one only where none is named."""
+    """Use the cluster's shared checkpoint folder; a folder of this machine serves a local session only.
+
+    Set ``spark.cleaner.referenceTracking.cleanCheckpoints`` to have checkpoints removed once unused.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = sc.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("name a shared folder in spark.checkpoint.dir: executors must see each other's checkpoints")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="billweave-"))
 
 

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from billweave.functions.text import normalize_ascii
+from billweave.functions.text import with_normalized
 
 KEYS = ("tenant_id", "partner_id", "normalized")
 
 
 def keyed(lines: DataFrame) -> DataFrame:
     """Stream or table of lines with the key of their wording."""
-    return lines.filter(F.col("description").isNotNull()).withColumn("normalized", normalize_ascii(F.col("description")))
+    return with_normalized(lines.filter(F.col("description").isNotNull()), "description")
 
 
 def running_occurrences(lines: DataFrame) -> DataFrame:

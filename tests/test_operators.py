@@ -40,6 +40,14 @@ def test_running_budget(spark):
     df = spark.createDataFrame([("a", i) for i in range(4)], "k string, n int").withColumn("c", F.lit("0.1").cast("decimal(5,2)"))
     got = rows(Q.running_budget(df, "k", "n", F.col("c"), 3, "0.25"), "n", "allowed")
     assert got == [(0, True), (1, True), (2, False), (3, False)]
+    dear = spark.createDataFrame([("a", 1, "0.1"), ("a", 2, "9"), ("a", 3, "0.1"), ("a", 4, None), ("a", 5, "0"), (None, 1, "0.2"), ("b", 1, "0.3")], "k string, n int, c string")
+    cost = F.col("c").cast("decimal(5,2)")
+    out = Q.running_budget(dear, "k", "n", cost, 3, "0.25").orderBy("k", "n").collect()
+    # a refused call costs nothing, so cheaper ones after it are made
+    assert [(r.k, r.n, r.calls, float(r.spent), r.allowed) for r in out] == [
+        (None, 1, 1, 0.2, True), ("a", 1, 1, 0.1, True), ("a", 2, 1, 0.1, False), ("a", 3, 2, 0.2, True), ("a", 4, 3, 0.2, True), ("a", 5, 3, 0.2, False), ("b", 1, 0, 0.0, False),
+    ]
+    assert Q.running_budget(dear.limit(0), "k", "n", cost, 3, "0.25").count() == 0
 
 
 def test_similarity_join_is_exact(spark):
@@ -139,10 +147,19 @@ def test_text_tables_and_headers(spark):
     assert got == [(4, "Sock", 2.0), (5, "Red tee", 6.0)]
     head = {r.doc_id: r for r in X.header_facts(df, "doc_id", "text").collect()}
     one = head[1]
-    assert (one.invoice_number, str(one.invoice_date), str(one.due_date), one.currency) == ("12345678", "2024-05-03", "2024-05-13", "USD")
+    # a text with labels is read by its labels alone
+    assert (one.invoice_number, str(one.invoice_date), one.payment_terms, one.due_date, one.currency) == ("12345678", "2024-05-03", None, None, "USD")
     assert [float(x) for x in (one.subtotal, one.tax_total, one.tax_rate_percent, one.amount_due)] == [8.0, 1.6, 20.0, 9.6]
     assert head[2].invoice_number is None and head[3].subtotal is None
     assert float(df.select(X.declared_subtotal(F.col("text"))).first()[0]) == 8.0
+    plain = spark.createDataFrame([(1, "Invoice\n3. Mai 2024\n12345678\nDue in 10 days\n subtotal less discount 3\nSubtotal x\nSubtotal 5 of 6,50")], "doc_id int, text string")
+    two = X.header_facts(plain, "doc_id", "text").first()
+    assert (two.invoice_number, str(two.invoice_date), str(two.due_date), two.labelled) == ("12345678", "2024-05-03", "2024-05-13", False)
+    assert float(plain.select(X.declared_subtotal(F.col("text"))).first()[0]) == 6.5
+    cells = spark.createDataFrame([("d", 1, ["Subtotal", "", "x"]), ("d", 2, ["SUBTOTAL ", "4", "5.5", ""]), ("d", 3, ["subtotal", "9"]), ("e", 1, ["subtotal less", "1"])], "doc string, n int, c array<string>")
+    assert [(r[0], float(r[1])) for r in X.declared_subtotal_of_rows(cells, "doc", "n", "c").collect()] == [("d", 5.5)]
+    labels = spark.createDataFrame([(1, "SELLER NAME: Acme\nBILL TO NAME = Foo\nBILL TO PHONE: 1")], "doc_id int, text string")
+    assert rows(X.labelled_entries(labels, "doc_id", "text"), "key", "value") == [("bill_to_name", "Foo"), ("bill_to_phone", "1"), ("seller_name", "Acme")]
 
 
 def test_evaluation(spark):

@@ -44,8 +44,8 @@ def test_lookups(spark):
     dim = spark.createDataFrame([("a", "x"), ("default", "y")], "tenant string, style string")
     assert sorted(r.style for r in K.lookup(rows, dim, "tenant", "style").collect()) == ["x", "y", "y"]
     assert [r.style for r in K.lookup(rows, dim.limit(0), "tenant", "style").collect()] == [None] * 3
-    text = "intro\nkeep 1\nkeep 2\nDescription Qty Total\nmail me@x.example 1 2\nTotal 2\nthanks\nend"
+    text = "intro\nkeep 1\nkeep 2\nDescription Qty Total\nmail me@x.example 1 2\n\n Subtotal 2\nthanks\nend"
     df = spark.createDataFrame([(text,), (None,)], "t string")
-    got = [r[0] for r in df.select(K.item_region(F.col("t"), 1000)).collect()]
-    assert got == ["keep 1\nkeep 2\nDescription Qty Total\nmail [REDACTED_EMAIL] 1 2\nTotal 2\nthanks", None]
+    got = [r[0] for r in df.select(K.minimized_region(F.col("t"), 1000)).collect()]
+    assert got == ["keep 1\nkeep 2\nDescription Qty Total\nmail [REDACTED_EMAIL] 1 2\nSubtotal 2\nthanks", None]
     assert df.select(K.first_contained(F.col("t"), [("zzz", "1"), ("keep", "2"), ("intro", "3")], "0")).first()[0] == "2"
