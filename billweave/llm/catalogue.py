@@ -89,19 +89,20 @@ def with_words(listings: DataFrame, *keep: str) -> DataFrame:
 
 
 def naming_words(words: DataFrame, key: str, *scope: str) -> DataFrame:
-    """The rows of ``words`` (key, scope, word, ...) whose word names an item, with its frequency ``df``.
+    """The rows of ``words`` (key, scope, word, n, ...) whose word names an item, with its frequency ``df``.
 
-    A word's spread is the number of different sets of words it stands in: a name stands alone or
-    beside its brand, a brand, a material or an advertising word beside many names. A word names
-    where it has the least spread of at least ``NAMING_SHARE`` of its wordings.
+    ``n`` is how often a key's wording occurs. A word's spread is the number of different sets of
+    words it stands in: a name stands alone or beside its brand, a brand, a material or an
+    advertising word beside many names. A word names where it has the least spread of at least
+    ``NAMING_SHARE`` of its wordings.
     """
-    whole = words.groupBy(key).agg(F.md5(F.to_json(F.array_sort(F.collect_set("word")))).alias("set"))  # one text's words
-    counted = words.join(whole, key)
-    spread = counted.groupBy(*scope, "word").agg(F.count_distinct("set").alias("spread"), F.count(F.lit(1)).alias("df"))
-    counted = counted.drop("set").join(spread, [*scope, "word"])
-    least = counted.groupBy(key).agg(F.min("spread").alias("least"))
-    counted = counted.join(least, key)
-    share = counted.groupBy(*scope, "word").agg(F.avg((F.col("spread") == F.col("least")).cast("int")).alias("share"))
+    of_key = Window.partitionBy(key)  # the words of one wording
+    counted = words.withColumn("set", F.md5(F.to_json(F.array_sort(F.collect_set("word").over(of_key)))))
+    each = counted.groupBy(*scope, "word", "set").agg(F.sum("n").alias("n"))
+    spread = each.groupBy(*scope, "word").agg(F.count(F.lit(1)).alias("spread"), F.sum("n").alias("df"))
+    counted = words.join(spread, [*scope, "word"]).withColumn("least", F.min("spread").over(of_key))
+    sure = F.when(F.col("spread") == F.col("least"), F.col("n")).otherwise(F.lit(0))
+    share = counted.groupBy(*scope, "word").agg((F.sum(sure) / F.sum("n")).alias("share"))
     naming = share.filter(F.col("share") >= NAMING_SHARE).select(*scope, "word")
     return counted.drop("least", "spread").join(naming, [*scope, "word"], "left_semi")
 
@@ -193,7 +194,7 @@ def map_to_catalogue(
     weight = field_weights(held)
 
     # the catalogue's words that name a product, and those of a text that may
-    words = with_words(held, "product_id", "tenant_id")
+    words = with_words(held.withColumn("n", F.lit(1)), "product_id", "tenant_id", "n")
     naming = materialize(naming_words(words, "product_id", "tenant_id"))
     generic = words.select("tenant_id", "word").distinct().join(naming.select("tenant_id", "word").distinct(), ["tenant_id", "word"], "left_anti")
     joined = F.array_join(F.array_sort(F.collect_set("word")), " ")  # the words of one text

@@ -193,32 +193,38 @@ def word_families(words: DataFrame) -> DataFrame:
 
 
 def _families(listings: DataFrame) -> DataFrame:
-    """(tid, kind, family) of the wordings that a naming word places."""
-    words = materialize(with_words(listings.select("tid", "tenant_id", "kind", "names"), "tid", "tenant_id", "kind"))
-    counted = words.groupBy("tenant_id", "kind", "word").agg(F.count(F.lit(1)).alias("weight"))
+    """(tenant_id, own_kind, names, kind, family) of the phrases that a naming word places."""
+    phrases = listings.filter(F.col("names") != "").groupBy("tenant_id", "kind", "names").agg(F.count(F.lit(1)).alias("n"))
+    # numbered once they are written: short keys that no two phrases share
+    phrases = materialize(phrases.withColumn("pid", F.monotonically_increasing_id()))
+    words = with_words(phrases, "pid", "tenant_id", "kind", "n")
+    counted = materialize(words.groupBy("tenant_id", "kind", "word").agg(F.sum("n").alias("weight")))
     families = materialize(word_families(counted).join(counted, ["tenant_id", "kind", "word"]))
     # a wording of unknown kind takes its word's most frequent family of a known one
     of_word = families.filter(F.col("kind") != "").groupBy("tenant_id", "word")
     of_word = of_word.agg(F.max_by(F.struct("kind", "family"), F.struct("weight", "kind")).alias("known"))
-    used = words.join(families.drop("weight"), ["tenant_id", "kind", "word"])
-    used = used.filter(F.col("kind") != "").unionByName(
-        used.filter(F.col("kind") == "").join(of_word, ["tenant_id", "word"], "left").select(
-            "tenant_id", F.coalesce("known.kind", "kind").alias("kind"), "word", "tid", F.coalesce("known.family", "family").alias("family")
-        )
-    )
-    used = materialize(used.select("tid", "tenant_id", "kind", F.col("family").alias("word")).distinct())
-    named = naming_words(used, "tid", "tenant_id")
-    return named.groupBy("tid").agg(F.max(F.struct("df", "word", "kind")).alias("b")).select("tid", "b.kind", F.col("b.word").alias("family"))
+    known = families.filter(F.col("kind") != "").select("tenant_id", "kind", "word", F.col("kind").alias("to"), "family")
+    unknown = families.filter(F.col("kind") == "").join(of_word, ["tenant_id", "word"], "left")
+    unknown = unknown.select(
+        "tenant_id", "kind", "word", F.coalesce("known.kind", "kind").alias("to"), F.coalesce("known.family", "family").alias("family")
+    )
+    used = words.join(known.unionByName(unknown), ["tenant_id", "kind", "word"])
+    used = materialize(used.groupBy("pid", "tenant_id", "n", F.col("to").alias("kind"), F.col("family").alias("word")).agg(F.lit(1).alias("one")).drop("one"))
+    named = naming_words(used, "pid", "tenant_id")
+    best = named.groupBy("pid").agg(F.max(F.struct("df", "word", "kind")).alias("b"))
+    placed = phrases.join(best, "pid")
+    return placed.select("tenant_id", F.col("kind").alias("own_kind"), "names", "b.kind", F.col("b.word").alias("family"))
 
 
 def _completed(nodes: DataFrame) -> DataFrame:
     """``nodes`` with what their part number says elsewhere in the family, where that is one value."""
-    said = nodes.filter(F.col("code") != "").groupBy("fid", "code")
+    coded = nodes.filter(F.col("code") != "")
     stated = [f for f in _SIGNATURE if f != "code"]
     one = lambda f: F.when(F.count_distinct(F.nullif(f, F.lit(""))) == 1, F.max(f))
-    known = said.agg(*[one(f).alias(f"of_{f}") for f in stated])
-    full = nodes.join(known, ["fid", "code"], "left")
-    return full.withColumns({f: F.when((F.col(f) == ""), F.coalesce(f"of_{f}", F.lit(""))).otherwise(F.col(f)) for f in stated}).select(nodes.columns)
+    known = coded.groupBy("fid", "code").agg(*[one(f).alias(f"of_{f}") for f in stated])
+    full = coded.join(known, ["fid", "code"])
+    full = full.withColumns({f: F.when(F.col(f) == "", F.coalesce(f"of_{f}", F.lit(""))).otherwise(F.col(f)) for f in stated})
+    return nodes.filter(F.col("code") == "").unionByName(full.select(nodes.columns))
 
 
 def _agree(test: Callable[[Column, Column], Column], names: tuple[str, ...] = _SIGNATURE) -> Column:
@@ -246,14 +252,15 @@ def one_seller(signatures: list[tuple], counts: list[int]) -> list[int]:
 
 def _settle_seller(rows: list[tuple]) -> list[tuple]:
     at = one_seller([r[4:] for r in rows], [r[3] for r in rows])
-    return [(r[2], rows[k][2]) for r, k in zip(rows, at)]
+    return [(*r, rows[k][2]) for r, k in zip(rows, at)]
 
 
 def seller_listings(nodes: DataFrame) -> DataFrame:
-    """(nid, listing) of every node; the wordings of one seller in one family meet, bounded by what can be stated."""
+    """``nodes`` with their ``listing``; the wordings of one seller in one family meet, bounded by what can be stated."""
     names = ["fid", "seller", "nid", "rows", *_SIGNATURE]
     ordered = nodes.select(*names).repartition("fid", "seller").sortWithinPartitions("fid", "seller")
-    return ordered.mapInPandas(_each_group(2, names, _settle_seller, ["nid", "listing"]), "nid binary, listing binary")
+    schema = ", ".join(["fid binary, seller string, nid bigint, rows bigint", *[f"{f} string" for f in _SIGNATURE], "listing bigint"])
+    return ordered.mapInPandas(_each_group(2, names, _settle_seller, [*names, "listing"]), schema)
 
 
 def seller_matches(listings: DataFrame) -> DataFrame:
@@ -274,7 +281,7 @@ def seller_matches(listings: DataFrame) -> DataFrame:
     names = open_.columns
     settle = lambda rows: [(*rows[0][:3], a, b) for a, b, _ in match_sellers([r[3:] for r in rows])]
     ordered = open_.repartition("fid", "seller_a", "seller_b").sortWithinPartitions("fid", "seller_a", "seller_b")
-    chosen = ordered.mapInPandas(_each_group(3, names, settle, names[:5]), "fid binary, seller_a string, seller_b string, nid_a binary, nid_b binary")
+    chosen = ordered.mapInPandas(_each_group(3, names, settle, names[:5]), "fid binary, seller_a string, seller_b string, nid_a bigint, nid_b bigint")
     return pairs.filter("alone").drop("alone").unionByName(pairs.drop("alone").join(chosen.select("nid_a", "nid_b"), ["nid_a", "nid_b"], "left_semi"))
 
 
@@ -294,45 +301,44 @@ def same_items(lines: DataFrame, products: DataFrame) -> DataFrame:
     scoped = F.col("tenant_id").isNotNull() & F.col("partner_id").isNotNull()
     lines, products = lines.filter(scoped), products.filter(scoped)
     texts = lines.select(*scope, "description").filter(F.col("description").isNotNull()).distinct()
-    said = read_values(texts.withColumn("tid", digest(*scope, "description")), "description").drop("description")
+    said = read_values(texts.withColumn("text_key", digest(*scope, "description")), "description").drop("description")
     product_key = F.concat(F.lit("P"), F.col("product_id"))
-    held = read_catalogue(products).withColumn("tid", digest("tenant_id", product_key))
-    columns = ("tid", *scope, "kind", "names", *_SIGNATURE)
+    held = read_catalogue(products).withColumn("text_key", digest("tenant_id", product_key))
+    columns = ("text_key", *scope, "kind", "names", *_SIGNATURE)
     both = said.select(*columns).unionByName(held.select(*columns))
     both = materialize(both.withColumn("pack", F.when(F.col("pack") == "", "1").otherwise(F.col("pack"))))
-    placed = both.drop("names").withColumnRenamed("kind", "own_kind").join(_families(both), "tid", "left")
+    placed = both.withColumnRenamed("kind", "own_kind").join(_families(both), ["tenant_id", "own_kind", "names"], "left").drop("own_kind", "names")
+    placed = materialize(placed)
 
     # a part number names one item: the family that most of its wordings give holds for all of them
-    known = placed.filter((F.col("code") != "") & F.col("family").isNotNull())
-    counted = known.groupBy("tenant_id", "code", "kind", "family").agg(F.count(F.lit(1)).alias("n"))
+    coded = placed.filter(F.col("code") != "")
+    counted = coded.filter(F.col("family").isNotNull()).groupBy("tenant_id", "code", "kind", "family").agg(F.count(F.lit(1)).alias("n"))
     best = F.max_by(F.struct("kind", "family"), F.struct("n", "kind", "family"))
     by_code = counted.groupBy("tenant_id", "code").agg(best.alias("of_code"))
-    placed = placed.join(by_code, ["tenant_id", "code"], "left")
-    coded = F.when(F.col("code") != "", F.concat(F.lit("#"), "code"))
-    placed = placed.withColumns(
-        {
-            "family": F.coalesce("of_code.family", "family", coded),
-            "kind": F.coalesce("of_code.kind", F.when(F.col("family").isNotNull(), F.col("kind")), F.lit("")),
-        }
-    ).filter(F.col("family").isNotNull())
-    placed = placed.select("tid", digest(*FAMILY).alias("fid"), F.col("partner_id").alias("seller"), *_SIGNATURE)
-    nid = digest(F.hex("fid"), "seller", *_SIGNATURE)
-    placed = materialize(placed.withColumn("nid", nid))
-    # rows are collapsed to distinct signatures before listings meet
-    nodes = placed.groupBy("nid", "fid", "seller", *_SIGNATURE).agg(F.count(F.lit(1)).alias("rows"))
-    nodes = materialize(_completed(nodes))
-    own = materialize(seller_listings(nodes))
+    coded = coded.join(by_code, ["tenant_id", "code"], "left")
+    coded = coded.withColumns(
+        {"family": F.coalesce("of_code.family", F.concat(F.lit("#"), "code")), "kind": F.coalesce("of_code.kind", F.lit(""))}
+    ).drop("of_code")
+    placed = coded.unionByName(placed.filter((F.col("code") == "") & F.col("family").isNotNull()))
+    placed = placed.select("text_key", digest(*FAMILY).alias("fid"), F.col("partner_id").alias("seller"), *_SIGNATURE)
+    # rows are collapsed to distinct signatures before listings meet; these are numbered once they are written
+    of_node = ("fid", "seller", *_SIGNATURE)
+    placed = materialize(placed.withColumn("node_key", digest(F.hex("fid"), *of_node[1:])))
+    nodes = placed.groupBy("node_key", *of_node).agg(F.count(F.lit(1)).alias("rows"))
+    nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()))
+    own = materialize(seller_listings(_completed(nodes.drop("node_key"))))
     # what a listing's wordings state is one value or none
-    of_listing = nodes.join(own, "nid").groupBy("fid", "seller", F.col("listing").alias("nid"))
+    of_listing = own.groupBy("fid", "seller", F.col("listing").alias("nid"))
     matches = seller_matches(of_listing.agg(F.sum("rows").alias("rows"), *[F.max(f).alias(f) for f in _SIGNATURE]))
     carried = ("fid", "nid_a", "nid_b", "weight", "n", "seller_a", "seller_b", *[f"{f}_{x}" for x in "ab" for f in _SIGNATURE])
     ordered = matches.withColumn("n", F.col("rows_a") + F.col("rows_b")).select(*carried).repartition("fid").sortWithinPartitions("fid")
-    items = ordered.mapInPandas(_each_group(1, list(carried), _settle_family, ["listing", "item"]), "listing binary, item binary")
-    labels = own.join(items, "listing", "left").select("nid", F.coalesce("item", "listing").alias("item"))
-    labels = placed.select("tid", "nid").join(labels, "nid").select("tid", "item")
-    line_keys = lines.select(F.concat(F.lit("L"), "line_id").alias("key"), digest(*scope, "description").alias("tid"))
-    product_keys = products.select(product_key.alias("key"), digest("tenant_id", product_key).alias("tid"))
-    return line_keys.unionByName(product_keys).join(labels, "tid").select("key", "item")
+    items = ordered.mapInPandas(_each_group(1, list(carried), _settle_family, ["listing", "item"]), "listing bigint, item bigint")
+    labels = own.select("nid", "listing").join(items, "listing", "left").select("nid", F.coalesce("item", "listing").alias("item"))
+    labels = nodes.select("node_key", "nid").join(labels, "nid").select("node_key", "item")
+    labels = placed.select("text_key", "node_key").join(labels, "node_key").select("text_key", "item")
+    line_keys = lines.select(F.concat(F.lit("L"), "line_id").alias("key"), digest(*scope, "description").alias("text_key"))
+    product_keys = products.select(product_key.alias("key"), digest("tenant_id", product_key).alias("text_key"))
+    return line_keys.unionByName(product_keys).join(labels, "text_key").select("key", "item")
 
 
 def item_pairs(lines: DataFrame, products: DataFrame) -> DataFrame:
