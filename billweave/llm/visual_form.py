@@ -88,11 +88,11 @@ def _forms(values: pd.Series) -> pd.DataFrame:
 
 def with_forms(values: DataFrame, column: str) -> DataFrame:
     """``values`` (distinct texts in ``column``) with their visual and folded forms."""
-    plain = F.col(column).rlike(PLAIN) | F.col(column).isNull()
-    native = values.filter(plain).withColumns({"visual": F.col(column), "folded": F.lower(column)})
-    other = values.filter(~plain).withColumn("__forms", F.pandas_udf(_forms, "visual string, folded string")(F.col(column)))
-    other = other.withColumns({"visual": F.col("__forms.visual"), "folded": F.col("__forms.folded")}).drop("__forms")
-    return native.unionByName(other)
+    # texts within printable ASCII go as nulls; the table is read once
+    made = F.pandas_udf(_forms, "visual string, folded string")(F.when(~F.col(column).rlike(PLAIN), F.col(column)))
+    out = values.withColumn("__forms", made)
+    forms = {"visual": F.coalesce("__forms.visual", column), "folded": F.coalesce("__forms.folded", F.lower(column))}
+    return out.withColumns(forms).drop("__forms")
 
 
 def normalise_text(rows: DataFrame, column: str) -> DataFrame:
