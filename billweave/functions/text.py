@@ -169,6 +169,11 @@ def _flags(*pairs: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in pairs]))
 
 
+def union_flags(*flags: Column) -> Column:
+    """Flags of several arrays in order, each once; a null array has none."""
+    return F.array_distinct(F.concat(*[F.coalesce(f, F.array().cast("array<string>")) for f in flags]))
+
+
 def untrusted_flags(text: Column) -> Column:
     """Ordered flags of instruction-like wording and control characters."""
     found = [(text.rlike(p), f"prompt_injection_pattern_{i}") for i, p in enumerate(INJECTION, 1)]
@@ -178,7 +183,7 @@ def untrusted_flags(text: Column) -> Column:
 def description_flags(text: Column) -> Column:
     """Ordered flags of a description that cannot be used."""
     return _flags(
-        (F.trim(text) == "", "empty_generated_description"),
+        (text.rlike("(?U)^\\s*$"), "empty_generated_description"),
         (F.char_length(text) > 120, "generated_description_too_long"),
         (F.lower(text).rlike("https?://"), "generated_description_contains_url"),
         (text.rlike(CONTROL), "generated_description_control_characters"),

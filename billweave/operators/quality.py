@@ -56,6 +56,22 @@ def extraction_quality(documents: DataFrame, lines: DataFrame, *keys: str) -> Da
     return joined.withColumns({"status": status, "checks": F.array_join(checks, ",")})
 
 
+QUALITY = "struct<status:string,line_count:bigint,complete_rows:bigint,valid_rows:bigint,invalid_rows:bigint,calculated_subtotal:string,declared_subtotal:string,subtotal_match:boolean,checks:string>"
+
+
+def quality_to_json(quality: DataFrame, *keys: str) -> DataFrame:
+    """(keys, quality_json): the extraction quality as it is stored, amounts as text."""
+    amounts = {c: F.col(c).cast("string") for c in ("calculated_subtotal", "declared_subtotal")}
+    names = [x.split(":")[0] for x in QUALITY[len("struct<") : -1].split(",")]
+    return quality.withColumns(amounts).select(*keys, F.to_json(F.struct(*names)).alias("quality_json"))
+
+
+def quality_from_json(text: Column) -> Column:
+    """The stored quality as a record; null for null, empty and broken text."""
+    read = F.from_json(text, QUALITY)
+    return F.when(read["status"].isNotNull(), read)
+
+
 def _near(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= F.lit(TOLERANCE).cast("decimal(20,4)")
 

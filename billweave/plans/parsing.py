@@ -18,11 +18,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw rows (R) and lines (L) that load, as typed lines: all that p6_found does not set apart."""
+    """Raw rows (R) and lines (L) that load: all that p6_found does not set apart, typed amounts shown as text."""
     raw = loaded_raw_rows(table(spark, sf_dir, "equivalent_invoice"))
     lines = loaded_lines(table(spark, sf_dir, "invoice_lines"))
     tagged = [
-        d.select(F.concat(F.lit(tag), F.col(key)).alias("source_key"), *LINE_FIELDS, "untyped")
+        d.select(
+            F.concat(F.lit(tag), F.col(key)).alias("source_key"), "description",
+            *[F.col(c).cast("string").alias(c) for c in LINE_FIELDS[1:]], "untyped",
+        )
         for tag, key, d in (("R", "row_id", raw), ("L", "line_id", lines))
     ]
     return tagged[0].unionByName(tagged[1])
@@ -83,7 +86,7 @@ def _left(field: str, number: str, text: str, raw: str | None = None) -> str:
 _LOAD = f"""
     n AS (SELECT *, {_text('q')} AS qt, {_text('u')} AS ut, {_text('t')} AS tt FROM good),
     d AS (SELECT *, {_typed('qt', 'DECIMAL(20,6)', 14)} AS quantity, {_typed('ut', 'DECIMAL(20,4)', 16)} AS unit_price, {_typed('tt', 'DECIMAL(20,4)', 16)} AS total FROM n)
-    SELECT source_key, description, quantity, unit_price, total, concat_ws(';', {_left('quantity', 'quantity', 'qt', 'q')},
+    SELECT source_key, description, CAST(quantity AS VARCHAR) AS quantity, CAST(unit_price AS VARCHAR) AS unit_price, CAST(total AS VARCHAR) AS total, concat_ws(';', {_left('quantity', 'quantity', 'qt', 'q')},
       {_left('total', 'total', 'tt')}, {_left('unit_price', 'unit_price', 'ut')}) AS untyped FROM d"""
 
 ORACLE = {

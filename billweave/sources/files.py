@@ -122,24 +122,51 @@ def ragged_rows(found: DataFrame) -> DataFrame:
     return wanted.mapInPandas(read, ROWS)
 
 
+def _document_text(raw: bytes) -> str:
+    """Every text run of a text document, one a line."""
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        root = ElementTree.fromstring(z.read("word/document.xml"))
+    return "\n".join(t.text or "" for t in root.iter(f"{_W}t"))
+
+
+def _workbook_text(raw: bytes) -> str:
+    """Every cell of the first sheet, one a line."""
+    return "\n".join(cell for row in _workbook(raw) for cell in row if cell)
+
+
+#: Least text of a page format before its fallback extractor is asked.
+SHORT_TEXT = 40
+_TEXTS = {".docx": _document_text, ".xlsx": _workbook_text}
+
+
 def plain_text(found: DataFrame, extractors: dict[str, object] | None = None) -> DataFrame:
-    """(path, document_id, text) of text files, and of other formats by given extractors (bytes -> text).
+    """(path, document_id, text, error) of text files, office files, and of other formats by given extractors (bytes -> text).
 
-    There is no PDF or picture reader in this package: pass one for ".pdf" to read such files.
+    There is no PDF or picture reader in this package: pass one for ".pdf" to read such files, and
+    one for "ocr" that is asked where the first gives under ``SHORT_TEXT`` characters. A file that
+    cannot be read has a null text and the error's name.
     """
-    extractors = dict(extractors or {})
+    extractors = _TEXTS | dict(extractors or {})
+    fallback = extractors.pop("ocr", None)
+
+    def one(suffix: str, raw: bytes) -> tuple[str | None, str | None]:
+        try:
+            text = extractors[suffix](raw) if suffix in extractors else raw.decode("utf-8-sig", "replace")
+            if fallback and suffix == ".pdf" and len(text.strip()) < SHORT_TEXT:
+                text = fallback(raw)
+            return text, None
+        except Exception as e:  # an unreadable file is a result, not a failure of the job
+            return None, type(e).__name__
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [
-                extractors[s](raw) if s in extractors else raw.decode("utf-8-sig", "replace")
-                for s, raw in zip(batch["suffix"], batch["content"])
-            ]
-            yield pd.DataFrame({"path": batch["path"], "document_id": batch["document_id"], "text": texts})
+            read_ = [one(s, raw) for s, raw in zip(batch["suffix"], batch["content"])]
+            texts, errors = [x for x, _ in read_], [e for _, e in read_]
+            yield pd.DataFrame({"path": batch["path"], "document_id": batch["document_id"], "text": texts, "error": errors})
 
     suffixes = [".txt", ".json", ".csv", *extractors]
     wanted = found.filter(F.col("suffix").isin(*suffixes)).select("path", "suffix", "document_id", "content")
-    return wanted.mapInPandas(read, "path string, document_id string, text string")
+    return wanted.mapInPandas(read, "path string, document_id string, text string, error string")
 
 
 #: The nested invoice object of JSON files.
@@ -170,13 +197,16 @@ def json_invoices(found: DataFrame) -> DataFrame:
     }
     known = lambda p: p["role"].isin("seller", "bill_to", "ship_to") & (F.trim(p["name"]) != "")
     parties = F.filter(F.coalesce("j.invoice.parties", "j.parties"), known)
+    # the whole file is refused where it holds no lines or one of them lacks its description
+    lacking = F.exists("j.lines", lambda x: F.coalesce(F.trim(x["description"]), F.lit("")) == "")
+    refused = F.when(F.col("j").isNull() | F.col("j.lines").isNull() | (F.size("j.lines") == 0), "no_lines").when(lacking, "description")
     return read.select(
-        "path", "document_id", *[v.alias(k) for k, v in head.items()], *[v.alias(k) for k, v in amounts.items()],
+        "path", "document_id", refused.alias("refused"), *[v.alias(k) for k, v in head.items()], *[v.alias(k) for k, v in amounts.items()],
         parties.alias("parties"), F.col("j.lines").alias("lines"),
     )
 
 
 def json_lines(invoices: DataFrame) -> DataFrame:
     """One row per line of JSON invoices, ids ``json-N`` from 1."""
-    each = invoices.select("document_id", F.posexplode("lines").alias("n", "l"))
+    each = invoices.filter(F.col("refused").isNull()).select("document_id", F.posexplode("lines").alias("n", "l"))
     return each.select("document_id", F.concat(F.lit("json-"), F.col("n") + 1).alias("source_line_id"), "l.*")

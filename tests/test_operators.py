@@ -167,3 +167,35 @@ def test_evaluation(spark):
     assert rows(E.exposition(E.counters(df, F.col("k")), "m"), "line") == [("m_a 2",)]
     assert E.accuracies(df, ok=F.col("ok")).first() == (3, 0.333333)
     assert spark.range(1).select(E.rate_per_1000(F.lit(10000))).first()[0] == 0.1
+
+
+def test_documents_and_outcomes(spark):
+    old = spark.createDataFrame([("t", "d", 1, "a"), ("t", "e", 1, "b")], "tenant_id string, document_id string, created_at int, v string")
+    new = spark.createDataFrame([("t", "d", 5, "c"), ("t", "f", 6, "d")], "tenant_id string, document_id string, created_at int, v string")
+    got = rows(S.upsert_documents(old, new, ["tenant_id", "document_id"]), "document_id", "created_at", "v")
+    assert got == [("d", 1, "c"), ("e", 1, "b"), ("f", 6, "d")]
+    seen = spark.createDataFrame([("k", 1, "x"), ("k", 2, "y"), (None, 3, "z")], "k string, at int, v string")
+    assert sorted(map(tuple, S.keep_last(seen, ["k"], F.col("at"), "at").collect()), key=str) == [("k", 1, "y"), (None, 3, "z")]
+    linked = S.link_outcomes(seen, spark.createDataFrame([("k", "new")], "k string, v string"), ["k"], ["v"])
+    assert rows(linked.filter("k is not null"), "at", "v") == [(1, "new"), (2, "new")] and linked.count() == 3
+    asked = spark.createDataFrame([("k",), ("q",), (None,)], "k string")
+    assert {r.k: (r.v, r.from_cache) for r in S.cached(asked, seen, ["k"], "v", F.col("at")).collect()} == {"k": ("y", True), "q": (None, False), None: (None, False)}
+    assert {r.k: r.in_scope for r in S.in_scope(asked, seen, ["k"]).collect()} == {"k": True, "q": False, None: False}
+    assert [r.tenant_id for r in S.tenants(old).collect()] == ["t"] and S.tenant_rows(old, "u").count() == 0
+
+
+def test_flags_proposals_and_cases(spark):
+    from billweave.functions import text as T
+    from billweave.operators import lookups as K
+
+    df = spark.createDataFrame([(["a", "b"], ["b", "c"]), (None, ["c"]), (None, None)], "x array<string>, y array<string>")
+    assert [r[0] for r in df.select(T.union_flags(F.col("x"), F.col("y"))).collect()] == [["a", "b", "c"], ["c"], []]
+    given = spark.createDataFrame([("White  TEE", "p1"), ("default", "p0")], "source string, proposal string")
+    lines = spark.createDataFrame([("white tee",), ("sock",), (None,)], "normalized string")
+    assert {r.normalized: r.proposal for r in K.proposals(lines, given).collect()} == {"white tee": "p1", "sock": "p0", None: "p0"}
+    schema = ", ".join(f"{s}_{x} {t}" for s in ("expected", "actual") for x, t in (("answer", "string"), ("kind", "string"), ("blocks", "boolean"), ("review", "boolean"), ("assisted", "boolean")))
+    cases = [("a", "k", True, True, True, "a", "k", False, False, True, "0.5"), (None, "k", False, True, False, None, "j", False, True, True, None)]
+    got = E.case_metrics(spark.createDataFrame(cases, schema + ", cost string")).first()
+    assert (got.cases, got.answer_accuracy, got.kind_accuracy, got.assisted_cases, got.assisted_answer_accuracy) == (2, 1.0, 0.5, 1, 1.0)
+    assert (got.missed_blocks, got.missed_reviews, got.unexpected_assists, got.unreviewed_assists, str(got.cost)) == (1, 1, 1, 1, "0.500000")
+    assert E.report(E.case_metrics(spark.createDataFrame(cases, schema + ", cost string"))).first()[0].startswith('{"cases":2,')
