@@ -65,3 +65,9 @@ def broadcast_if_small(df: DataFrame, *text_columns: str, limit: int = BROADCAST
         cost = cost + F.coalesce(F.octet_length(F.col(name)), F.lit(0))
     size = df.agg(F.coalesce(F.sum(cost.cast("bigint")), F.lit(0)).alias("n")).first()["n"]
     return F.broadcast(df) if size <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least a task a core, for work that is much against its bytes; a wider one stays as it is."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
