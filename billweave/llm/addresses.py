@@ -356,4 +356,4 @@ def same_buildings(rows: DataFrame, key: str = "party_id", lines: str = "address
 
 def building_pairs(rows: DataFrame, key: str = "party_id") -> DataFrame:
     """(key_a, key_b) of rows that denote the same building."""
-    return pairs_within(materialize(same_buildings(rows, key)), "building", key).drop("building")
+    return pairs_within(materialize(same_buildings(rows, key)), "building", key)

@@ -343,4 +343,4 @@ def same_items(lines: DataFrame, products: DataFrame) -> DataFrame:
 
 def item_pairs(lines: DataFrame, products: DataFrame) -> DataFrame:
     """(key_a, key_b) of lines and catalogue rows of one tenant that describe the same item."""
-    return pairs_within(materialize(same_items(lines, products)), "item", "key").drop("item")
+    return pairs_within(materialize(same_items(lines, products)), "item", "key")

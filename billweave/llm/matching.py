@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from billweave.runtime import materialize
+from billweave.runtime import materialize, spread
 
 #: Rows of one band that meet in one task; a larger band is cut into blocks that meet pairwise.
 HOT = 512
@@ -88,37 +88,43 @@ def candidates_between(left: DataFrame, right: DataFrame, key: Column, bands: in
     """Pairs (id_a, id_b) of a row of ``left`` and one of ``right`` that share a band, with carried columns."""
     sides = []
     for side, x in ((left, "a"), (right, "b")):
-        banded = side.select("id", *carry, F.explode(band_keys(key, bands, rows)).alias("band"))
+        banded = spread(side).select("id", *carry, F.explode(band_keys(key, bands, rows)).alias("band"))
         sides.append(banded.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("id", *carry)]))
     return sides[0].join(sides[1], "band").drop("band")
 
 
-def candidate_pairs(forms: DataFrame, keys: Column, *carry: str, hot: int = HOT) -> DataFrame:
-    """Pairs (id_a, id_b), id_a < id_b, of ids that share a band, with carried columns of both.
+def meet(banded: DataFrame, band: str, *carry: str, hot: int = HOT) -> DataFrame:
+    """Pairs (id_a, id_b), id_a < id_b, of the ids of each band, with carried columns of both.
 
-    A pair may come once for each band it shares. A band of more than ``hot`` rows is dealt into
-    slices of about that size; every two slices, and every slice with itself, meet in a task of
-    their own, so no pair is lost and no task holds a whole band.
+    A band of more than ``hot`` rows is dealt into slices of about that size; every two slices,
+    and every slice with itself, meet in a task of their own, so no pair is lost and no task holds
+    a whole band.
     """
     names = ("id", *carry)
-    banded = forms.select(*names, F.explode(keys).alias("band"))
     # the window shares the shuffle and the order of the join that follows
-    held = banded.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("band"))).filter("held > 1")
+    held = banded.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy(band)))
 
-    def meet(rows: DataFrame, on: list[str], *more: str) -> DataFrame:
-        a, b = (rows.select(*on, *[F.col(c).alias(f"{c}_{x}") for c in (*names, *more)]) for x in "ab")
-        return a.join(b, on).filter(F.col("id_a") < F.col("id_b"))
+    def side(rows: DataFrame, x: str, *on: str) -> DataFrame:
+        return rows.select(*on, *[F.col(c).alias(f"{c}_{x}") for c in names])
 
     wanted = [f"{c}_{x}" for x in "ab" for c in names]
-    cold = meet(held.filter(F.col("held") <= hot), ["band"]).select(*wanted)
+    few = held.filter((F.col("held") > 1) & (F.col("held") <= hot))
+    cold = side(few, "a", band).join(side(few, "b", band), band).filter(F.col("id_a") < F.col("id_b")).select(*wanted)
     slices = F.ceil(F.col("held") / hot)
     cut = held.filter(F.col("held") > hot).withColumn("slice", F.pmod(F.xxhash64("id"), slices))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1)))
     cut = cut.withColumns({"low": F.least("slice", "other"), "high": F.greatest("slice", "other")})
-    warm = meet(cut, ["band", "low", "high"], "slice").filter((F.col("slice_a") != F.col("slice_b")) | (F.col("low") == F.col("high")))
+    sides = [side(cut, x, band, "low", "high", F.col("slice").alias(f"slice_{x}")) for x in "ab"]
+    warm = sides[0].join(sides[1], [band, "low", "high"]).filter(F.col("id_a") < F.col("id_b"))
+    warm = warm.filter((F.col("slice_a") != F.col("slice_b")) | (F.col("low") == F.col("high")))
     return cold.unionByName(warm.select(*wanted))
 
 
+def candidate_pairs(forms: DataFrame, keys: Column, *carry: str, hot: int = HOT) -> DataFrame:
+    """Pairs (id_a, id_b), id_a < id_b, of ids that share a band, with carried columns of both; once for each band shared."""
+    return meet(spread(forms).select("id", *carry, F.explode(keys).alias("band")), "band", *carry, hot=hot)
+
+
 def _codes(texts: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(texts.astype(f"<U{max(width, 1)}")).view(np.uint32).reshape(len(texts), max(width, 1))
 
@@ -284,6 +290,5 @@ def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def pairs_within(members: DataFrame, cluster: str, key: str, *names: str) -> DataFrame:
     """Every pair of rows of one cluster, the smaller key first: the stated result, not a search."""
     low, high = names or (f"{key}_a", f"{key}_b")
-    a = members.select(cluster, F.col(key).alias(low))
-    b = members.select(cluster, F.col(key).alias(high))
-    return a.join(b, cluster).filter(F.col(low) < F.col(high))
+    found = meet(members.select(F.col(cluster).alias("cluster"), F.col(key).alias("id")), "cluster")
+    return found.select(F.col("id_a").alias(low), F.col("id_b").alias(high))
