@@ -306,7 +306,7 @@ def town_spellings(towns: DataFrame) -> DataFrame:
     near = _alike(candidates_between(lone, forms.filter("known"), F.col("id"), bands, 2, "n"), TOWN_SIMILARITY)
     best = F.max_by("id_b", F.struct("like", "n_b", "id_b"))
     confirmed = materialize(near.groupBy(F.col("id_a").alias("town")).agg(best.alias("place")))
-    rest = lone.join(confirmed.select(F.col("town").alias("id")), "id", "left_anti")
+    rest = materialize(lone.join(confirmed.select(F.col("town").alias("id")), "id", "left_anti"))
     pairs = _alike(candidate_pairs(rest, band_keys(F.col("id"), bands, 2), "n"), SPELLING_SIMILARITY)
     ends = [F.struct(F.col(f"n_{x}").alias("n"), F.col(f"id_{x}").alias("id")) for x in "ab"]
     led = pairs.select(F.least(*ends)["id"].alias("town"), F.greatest(*ends).alias("head"))
