@@ -98,6 +98,15 @@ def references_to_inactive(spark, d):
     return S.missing_parents(aliases, table(spark, d, "canonical_products").filter("active"), ["tenant_id", "product_id"]).select("product_id", "alias_id")
 
 
+@query(f"""SELECT {norm_sql('canonical_description')} AS normalized, count(DISTINCT tenant_id) AS tenants, count(DISTINCT product_id) AS products FROM canonical_products
+GROUP BY 1 HAVING count(DISTINCT product_id) > 1""")
+def description_scope_collision(spark, d):
+    """Descriptions that are products of their own in several scopes."""
+    held = T.with_normalized(table(spark, d, "canonical_products").select("tenant_id", "product_id", "canonical_description"), "canonical_description")
+    found = held.groupBy("normalized").agg(F.count_distinct("tenant_id").alias("tenants"), F.count_distinct("product_id").alias("products"))
+    return found.filter("products > 1")
+
+
 @query("SELECT DISTINCT tenant_id FROM invoice_lines WHERE tenant_id IS NOT NULL")
 def tenant_list(spark, d):
     """The tenants of the lines."""
