@@ -30,18 +30,27 @@ def review_priority(count: Column, value: Column, score: Column, currency: Colum
     return F.round(frequency * (1.0 + F.log1p(comparable)) * F.greatest(F.lit(0.05), 1.0 - _clamp(score, 0.0, 1.0)), 6)
 
 
+# What hybrid scores add without a conflict and for the same category, and their factor on conflict.
+NO_CONFLICT, CATEGORY, CONFLICT_FACTOR = 0.10, 0.1, 0.35
+
+
+def weighted(lexical, token, trigram):
+    """Weighted text evidence, of columns or of arrays."""
+    return 0.40 * lexical + 0.30 * token + 0.20 * trigram
+
+
 def hybrid_score(
     lexical: Column, token: Column, trigram: Column, conflict: Column, same_category: Column,
     semantic: Column | None = None, weight: float = 0.2,
 ) -> Column:
     """Weighted evidence, an optional semantic blend, damped on conflict."""
-    base = 0.40 * lexical + 0.30 * token + 0.20 * trigram
-    base = base + F.when(conflict, 0.0).otherwise(0.10) + F.when(same_category, 0.1).otherwise(0.0)
+    base = weighted(lexical, token, trigram)
+    base = base + F.when(conflict, 0.0).otherwise(NO_CONFLICT) + F.when(same_category, CATEGORY).otherwise(0.0)
     score = F.least(F.lit(1.0), base)
     if semantic is not None:
         w = min(0.5, max(0.0, weight))
         score = F.when(semantic.isNull(), score).otherwise((1 - w) * score + w * _clamp(semantic, 0.0, 1.0))
-    return F.round(F.when(conflict, score * 0.35).otherwise(score), 6)
+    return F.round(F.when(conflict, score * CONFLICT_FACTOR).otherwise(score), 6)
 
 
 def token_cost(text: Column, output_cap: int, input_price: float, output_price: float) -> Column:

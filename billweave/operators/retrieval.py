@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from billweave.functions.attributes import conflicting_attributes, extract_attributes
 from billweave.functions.scoring import hybrid_score
 from billweave.functions.text import ngram_jaccard, sequence_similarity, token_jaccard, tokens
+from billweave.operators.scope_search import best_pairs
 
 SCOPE = ("tenant_id", "partner_id")
 #: Matrices of vectors that one task compares with the queries.
@@ -111,13 +112,17 @@ def hybrid_search(
 
     ``lines`` has (query_id, scope, q_normalized), ``aliases`` the columns of
     :func:`approved_aliases` and ``normalized``. Without ``min_token`` every alias of the scope
-    is scored, which suits scopes of bounded size; with it, candidates come from the exact
-    similarity join of that token threshold. ``semantic`` has (query_id, product_id, semantic).
+    is compared, in blocks (:func:`best_pairs`); with it, candidates come from the exact similarity
+    join of that token threshold. ``semantic`` has (query_id, product_id, semantic); with it and
+    without ``min_token`` every pair of a scope is made, which suits scopes of bounded size.
     The best alias of a product is the one of the highest score, then the least normalised text.
     """
     queries = lines.select("query_id", *SCOPE, "q_normalized").dropDuplicates(["query_id"])
     held = aliases.select(*SCOPE, "alias_id", "normalized", "product_id", "category", "attributes_json")
-    if min_token is None:
+    blocks = lexical and min_token is None and semantic is None
+    if blocks:
+        pairs = best_pairs(queries, held, SCOPE, max(k, 2), lexical)
+    elif min_token is None:
         pairs = queries.join(held, list(SCOPE))
     else:
         near = token_similarity_pairs(
@@ -130,7 +135,10 @@ def hybrid_search(
         pairs = pairs.join(queries, "query_id").join(held.drop(*SCOPE), "alias_id")
     if semantic is not None:
         pairs = pairs.join(semantic, ["query_id", "product_id"], "left")
-    like = sequence_similarity(F.col("q_normalized"), F.col("normalized")) if lexical else F.lit(0.0)
+    if not lexical:
+        like = F.lit(0.0)
+    else:
+        like = F.col("lexical") if blocks else sequence_similarity(F.col("q_normalized"), F.col("normalized"))
     scored = _evidence(pairs, like, None if semantic is None else F.col("semantic"), weight)
     best = Window.partitionBy("query_id", "product_id").orderBy(F.desc("score"), "normalized", "alias_id")
     per_product = scored.withColumn("__n", F.row_number().over(best)).filter("__n = 1").drop("__n")
