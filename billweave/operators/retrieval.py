@@ -119,7 +119,7 @@ def hybrid_search(
     """
     queries = lines.select("query_id", *SCOPE, "q_normalized").dropDuplicates(["query_id"])
     held = aliases.select(*SCOPE, "alias_id", "normalized", "product_id", "category", "attributes_json")
-    blocks = lexical and min_token is None and semantic is None
+    blocks = min_token is None and semantic is None
     if blocks:
         pairs = best_pairs(queries, held, SCOPE, max(k, 2), lexical)
     elif min_token is None:

@@ -65,3 +65,16 @@ def test_few_sequence_ratios(monkeypatch):
     chunk = B._Chunk(asked, aliases, 5, True)
     assert all(texts[next(chunk.best(q))[0]] == texts[q] for q in range(20))
     assert len(calls) < 20 * 100
+
+
+def test_native_blocks_give_what_all_pairs_give(spark, monkeypatch):
+    asked, held = odd_scope(spark, 60, 300)
+    compare(spark, asked, held, False)
+    monkeypatch.setattr(B, "BLOCK", 9)
+    monkeypatch.setattr(B, "CHUNK", 40)
+    compare(spark, asked, held, False)
+
+
+def test_native_score_makes_no_row_for_each_pair(spark):
+    asked, held = odd_scope(spark, 10, 30)
+    assert "FlatMapCoGroupsInPandas" in plan_of(R.hybrid_search(asked, held, 5, lexical=False))
