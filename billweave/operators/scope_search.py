@@ -112,14 +112,15 @@ class _Bounds:
         for bucket in self.places[: self.lengths[some].max(initial=0), some]:
             carry = None
             for w in range(words):
-                has, v = masks[w][bucket], left[w]
-                hit = v & has
+                v = left[w]
+                hit = np.take(masks[w], bucket, mode="clip") & v
                 up = v + hit
                 over = up < v if words > 1 else None
                 if carry is not None:
                     up += carry
                     over |= up < carry
-                left[w] = up | (v & ~has)
+                v -= hit
+                v |= up
                 carry = over
         return np.bitwise_count(~left).sum(axis=0).astype(np.int64)
 
