@@ -135,11 +135,8 @@ def hybrid_search(
         pairs = pairs.join(queries, "query_id").join(held.drop(*SCOPE), "alias_id")
     if semantic is not None:
         pairs = pairs.join(semantic, ["query_id", "product_id"], "left")
-    if not lexical:
-        like = F.lit(0.0)
-    else:
-        like = F.col("lexical") if blocks else sequence_similarity(F.col("q_normalized"), F.col("normalized"))
-    scored = _evidence(pairs, like, None if semantic is None else F.col("semantic"), weight)
+    like = sequence_similarity(F.col("q_normalized"), F.col("normalized")) if lexical else F.lit(0.0)
+    scored = pairs if blocks else _evidence(pairs, like, None if semantic is None else F.col("semantic"), weight)
     best = Window.partitionBy("query_id", "product_id").orderBy(F.desc("score"), "normalized", "alias_id")
     per_product = scored.withColumn("__n", F.row_number().over(best)).filter("__n = 1").drop("__n")
     kept = per_product.select("query_id", "product_id", F.col("normalized").alias("matched_alias"), "score", "token", "trigram", "conflict")

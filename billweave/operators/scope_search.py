@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from billweave.functions.attributes import PROTECTED, extract_attributes
 from billweave.functions.scoring import CATEGORY, CONFLICT_FACTOR, NO_CONFLICT, weighted
@@ -176,8 +176,8 @@ class _Chunk:
                 same = self._states(i, value)
         return np.where(conflict, 0.0, NO_CONFLICT), np.where(same, CATEGORY, 0.0), np.where(conflict, CONFLICT_FACTOR, 1.0)
 
-    def best(self, query: int) -> Iterator[tuple[int, float]]:
-        """(alias, sequence ratio) of the k best products."""
+    def best(self, query: int) -> Iterator[tuple]:
+        """(alias, sequence ratio, token, trigram, conflict, score) of the k best products; no ratio without a text."""
         token, trigram = self.words.jaccard(query), self.grams.jaccard(query)
         no_conflict, category, factor = self._attributes(self.said[query])
         text = self.asked[query]
@@ -192,8 +192,14 @@ class _Chunk:
             tops = np.maximum.reduceat(scores, self.starts)
             least = np.partition(tops, -self.k)[-self.k] if len(tops) > self.k else -1.0
             near = np.flatnonzero(scores >= least - NEAR)
-            return self._first(near, scores[near], np.zeros(len(near)))
-        return self._first(*self._compared(text or "", score))
+            first = self._first(near, scores[near], np.zeros(len(near)))
+        else:
+            first = self._first(*self._compared(text or "", score))
+        for a, ratio, points in first:
+            read = (ratio, float(token[a]), float(trigram[a]))
+            if text is None or self.unread[a]:  # a missing text counts as one n-gram of its own
+                read = (None, None, float(text is None and self.unread[a]))
+            yield a, *read, bool(factor[a] != 1.0), points
 
     def _compared(self, text: str, score) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The aliases that can be among the best, their scores and sequence ratios."""
@@ -228,19 +234,20 @@ class _Chunk:
         at, values, ratios = zip(*found)
         return np.array(at), np.array(values), np.array(ratios)
 
-    def _first(self, at: np.ndarray, scores: np.ndarray, ratios: np.ndarray) -> Iterator[tuple[int, float]]:
+    def _first(self, at: np.ndarray, scores: np.ndarray, ratios: np.ndarray) -> Iterator[tuple[int, float, float]]:
         seen: set[int] = set()
-        for i in np.lexsort((at, -_rounded(scores))).tolist():
+        millionths = _rounded(scores)
+        for i in np.lexsort((at, -millionths)).tolist():
             product = int(self.product[at[i]])
             if product not in seen:
                 seen.add(product)
-                yield int(at[i]), float(ratios[i])
+                yield int(at[i]), float(ratios[i]), float(millionths[i] / 1e6)
                 if len(seen) == self.k:
                     return
 
 
 def best_pairs(queries: DataFrame, held: DataFrame, scope: tuple[str, ...], k: int, lexical: bool) -> DataFrame:
-    """Pairs of a query and an alias of its scope, with ``lexical``, that hold the k best products of every query.
+    """Pairs of a query and an alias of its scope that hold the k best products of every query, with their evidence and score.
 
     ``queries`` has (query_id, scope, q_normalized), ``held`` (scope, alias_id, normalized, product_id, category,
     attributes_json). Of a product only its best alias of a chunk stays; each chunk gives k products at most.
@@ -267,6 +274,8 @@ def best_pairs(queries: DataFrame, held: DataFrame, scope: tuple[str, ...], k: i
     of_query = [f for f in queries.schema if f.name not in scope]
     of_alias = [f for f in held.schema if f.name not in scope]
 
+    reads = {"lexical": "float64", "token": "float64", "trigram": "float64", "conflict": "bool", "score": "float64"}
+
     def search(asked: pd.DataFrame, aliases: pd.DataFrame) -> pd.DataFrame:
         asked, aliases = (x.astype(object).where(x.notna(), None) for x in (asked.reset_index(drop=True), aliases))
         wins = list(zip(*([(x is not None, x) for x in aliases[c]] for c in ("product_id", "normalized", "alias_id"))))
@@ -274,12 +283,14 @@ def best_pairs(queries: DataFrame, held: DataFrame, scope: tuple[str, ...], k: i
         found = []
         if len(asked) and len(aliases):
             chunk = _Chunk(asked, aliases, k, lexical)
-            found = [(q, a, ratio) for q in range(len(asked)) for a, ratio in chunk.best(q)]
-        q, a, ratios = ([x[i] for x in found] for i in range(3))
+            found = [(q, *hit) for q in range(len(asked)) for hit in chunk.best(q)]
+        q, a = ([x[i] for x in found] for i in range(2))
         mine = asked[[f.name for f in of_query]].iloc[q].reset_index(drop=True)
         theirs = aliases[[f.name for f in of_alias]].iloc[a].reset_index(drop=True)
-        return pd.concat([mine, theirs, pd.Series(ratios, name="lexical", dtype="float64")], axis=1)
+        evidence = pd.DataFrame({name: pd.Series([x[2 + i] for x in found], dtype=kind) for i, (name, kind) in enumerate(reads.items())})
+        return pd.concat([mine, theirs, evidence], axis=1)
 
-    schema = StructType([*of_query, *of_alias, StructField("lexical", DoubleType())])
+    types = [StructField(name, BooleanType() if kind == "bool" else DoubleType()) for name, kind in reads.items()]
+    schema = StructType([*of_query, *of_alias, *types])
     together = [*scope, "q", "a"]
     return left.groupBy(*together).cogroup(right.groupBy(*together)).applyInPandas(search, schema)

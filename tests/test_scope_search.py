@@ -30,7 +30,7 @@ def odd_scope(spark, queries, aliases):
 def compare(spark, asked, held, lexical):
     """Both ways of the search: in blocks, and over every pair (semantic scores are given, but of no product)."""
     none = spark.createDataFrame([], "query_id string, product_id string, semantic double")
-    columns = ("query_id", "rank", "product_id", "matched_alias", "score", "margin", "conflict")
+    columns = ("query_id", "rank", "product_id", "matched_alias", "score", "margin", "token", "trigram", "conflict")
     want, got = ([tuple(r) for r in R.hybrid_search(asked, held, 5, lexical, semantic=s).select(*columns).collect()] for s in (none, None))
     key = lambda r: r[:2]
     assert want and sorted(got, key=key) == sorted(want, key=key)
